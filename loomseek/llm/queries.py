@@ -2,13 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomseek.llm import leakage, packing, splitting, textstats
+from loomseek.llm import leakage, origin, packing, ranking, splitting, syntax, textstats
 from loomseek.session import staged, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = origin.file_origins(table(spark, sf_dir, "chunks"))
+    return files.filter(F.col("origin") != "hand-written").select("repo", "file_path").distinct()
+
+
+def p1_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per language and origin."""
+    return origin.file_origins(table(spark, sf_dir, "chunks")).groupBy("language", "origin").agg(F.count(F.lit(1)).alias("files"), F.sum("visible").alias("visible_bytes"))
+
+
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.fused_ranking(table(spark, sf_dir, "ranked"))
+
+
+def p4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG at 10 of the fused ranking, of each signal alone, and of the plain sum of the raw scores."""
+    scores, qrels = table(spark, sf_dir, "ranked"), table(spark, sf_dir, "qrels")
+    runs = {"fused": ranking.fused_ranking(scores)}
+    clean = ranking.standardised(scores)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    for signal in ("dense", "sparse", "structural", "rerank"):
+        runs[signal] = clean.filter(F.col("signal") == signal).withColumn("rank", F.row_number().over(order))
+    runs["raw sum"] = clean.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score")).withColumn("rank", F.row_number().over(order))
+    out = [ranking.ndcg(run, qrels).withColumn("ranking", F.lit(name)) for name, run in runs.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = splitting.split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"), with_text=False)
     return out.select("chunk_id").distinct()
@@ -19,6 +48,18 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
 
 
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.parsed_files(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "source_files"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).filter(~F.col("valid")).select("repo", "file_path").distinct()
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.parse_rates(_parsed(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.split_items(packing.pack(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"))
 
@@ -71,9 +112,21 @@ def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(F.col("id").alias("doc_id"), "n_bytes", "words", "digits", "symbols", "spaces")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p8_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_types, p10_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_ranking, p4_quality, p7_found, p7_rates, p5_found, p5_pieces, p8_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_types, p10_counts)}
 
 ORACLES = {
+    "p4_ranking": """
+WITH s AS (SELECT query_id, signal, chunk_id, max(score) AS score FROM ranked WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+m AS (SELECT query_id, signal, median(score) AS mid FROM s GROUP BY ALL),
+o AS (SELECT s.*, mid, abs(score - mid) AS off FROM s JOIN m USING (query_id, signal)),
+d AS (SELECT query_id, signal, median(off) AS mad, avg(off) AS mean_off FROM o GROUP BY ALL),
+z AS (SELECT query_id, signal, chunk_id, CASE WHEN mad > 0 THEN (score - mid) / (1.4826 * mad) WHEN mean_off > 0 THEN (score - mid) / (1.2533 * mean_off) ELSE 0 END AS z,
+  CASE signal WHEN 'rerank' THEN 2.0 WHEN 'structural' THEN 0.5 ELSE 1.0 END AS w FROM o JOIN d USING (query_id, signal)),
+b AS (SELECT *, 1 / (1 + exp(-greatest(-30.0, least(30.0, z)))) AS bounded FROM z),
+q AS (SELECT query_id, sum(w) AS all_w FROM (SELECT DISTINCT query_id, signal, w FROM b) GROUP BY ALL),
+f AS (SELECT query_id, chunk_id, round(exp((sum(w * ln(bounded)) + (any_value(all_w) - sum(w)) * ln(1 / (1 + exp(1.0)))) / any_value(all_w)), 9) AS final_score, count(*) AS n_signals
+  FROM b JOIN q USING (query_id) GROUP BY ALL)
+SELECT query_id, chunk_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank, n_signals FROM f""",
     "p5_found": "SELECT DISTINCT chunk_id FROM chunks JOIN chunk_limits USING (kind) WHERE strlen(text) > max_bytes",
     "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
     "p10_counts": r"""
