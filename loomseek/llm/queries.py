@@ -116,16 +116,14 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_ranking, p4_quality,
 
 ORACLES = {
     "p4_ranking": """
-WITH s AS (SELECT query_id, signal, chunk_id, max(score) AS score FROM ranked WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+WITH s AS (SELECT query_id, signal, chunk_id, max(score) AS score FROM ranked WHERE score IS NOT NULL AND lower(CAST(score AS VARCHAR)) NOT LIKE '%nan%' GROUP BY ALL),
 m AS (SELECT query_id, signal, median(score) AS mid FROM s GROUP BY ALL),
 o AS (SELECT s.*, mid, abs(score - mid) AS off FROM s JOIN m USING (query_id, signal)),
 d AS (SELECT query_id, signal, median(off) AS mad, avg(off) AS mean_off FROM o GROUP BY ALL),
 z AS (SELECT query_id, signal, chunk_id, CASE WHEN mad > 0 THEN (score - mid) / (1.4826 * mad) WHEN mean_off > 0 THEN (score - mid) / (1.2533 * mean_off) ELSE 0 END AS z,
-  CASE signal WHEN 'rerank' THEN 2.0 WHEN 'structural' THEN 0.5 ELSE 1.0 END AS w FROM o JOIN d USING (query_id, signal)),
+  CASE signal WHEN 'sparse' THEN 0.5 WHEN 'structural' THEN 0.25 ELSE 1.0 END AS w FROM o JOIN d USING (query_id, signal)),
 b AS (SELECT *, 1 / (1 + exp(-greatest(-30.0, least(30.0, z)))) AS bounded FROM z),
-q AS (SELECT query_id, sum(w) AS all_w FROM (SELECT DISTINCT query_id, signal, w FROM b) GROUP BY ALL),
-f AS (SELECT query_id, chunk_id, round(exp((sum(w * ln(bounded)) + (any_value(all_w) - sum(w)) * ln(1 / (1 + exp(1.0)))) / any_value(all_w)), 9) AS final_score, count(*) AS n_signals
-  FROM b JOIN q USING (query_id) GROUP BY ALL)
+f AS (SELECT query_id, chunk_id, round(exp((sum(w * ln(bounded)) + ln(0.5)) / (sum(w) + 1.0)), 9) AS final_score, count(*) AS n_signals FROM b GROUP BY ALL)
 SELECT query_id, chunk_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank, n_signals FROM f""",
     "p5_found": "SELECT DISTINCT chunk_id FROM chunks JOIN chunk_limits USING (kind) WHERE strlen(text) > max_bytes",
     "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",

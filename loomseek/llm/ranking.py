@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights of the signals; others count as DEFAULT_WEIGHT. Only their ratios matter.
-WEIGHTS = {"dense": 1.0, "sparse": 1.0, "structural": 0.5, "rerank": 2.0}
-DEFAULT_WEIGHT = 1.0
+#: Weights of the signals; others count as DEFAULT_WEIGHT.
+WEIGHTS = {"dense": 1.0, "sparse": 0.5, "structural": 0.25, "rerank": 1.0}
+DEFAULT_WEIGHT = 0.5
+#: Weight of the middle value 0.5 in every mean: a chunk that few signals know is drawn towards the middle.
+PRIOR_WEIGHT = 1.0
 #: Makes the deviation of a normal distribution its standard deviation.
 CONSISTENCY = 1.4826
-#: What a candidate gets for a signal that ranks the query's chunks but lacks it: below the median.
-MISSING_Z = -1.0
 
 
 def standardised(ranked: DataFrame) -> DataFrame:
@@ -48,24 +48,23 @@ def squash(z: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
-def fused_ranking(ranked: DataFrame, weights: dict[str, float] = WEIGHTS, missing_z: float = MISSING_Z) -> DataFrame:
+def fused_ranking(ranked: DataFrame, weights: dict[str, float] = WEIGHTS, prior: float = PRIOR_WEIGHT) -> DataFrame:
     """``query_id, chunk_id, final_score, rank, n_signals``: one order per query.
 
-    ``final_score`` is the weighted geometric mean over the signals the query has; a chunk without one of them
-    gets the squashed ``missing_z`` for it, a signal that the query lacks as a whole does not count. Ties are
-    ordered by chunk id, ranks count from 1. A query without any real score has no rows.
+    ``final_score`` is the weighted geometric mean of the bounded scores the chunk has and of the middle value with
+    weight ``prior``. A signal that the chunk or the query lacks does not count: signals are missing for reasons of
+    their own, so a missing one is no bad one, but less is known of the chunk. Ties are ordered by chunk
+    id, ranks count from 1. A query without any real score has no rows.
     """
     b = standardised(ranked)
     w = F.lit(DEFAULT_WEIGHT)
     for k, v in weights.items():
         w = F.when(F.col("signal") == k, F.lit(float(v))).otherwise(w)
     b = b.withColumn("w", w)
-    of_query = b.select("query_id", "signal", "w").distinct().groupBy("query_id").agg(F.sum("w").alias("all_w"))
-    per = b.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.ln("bounded")).alias("s"), F.sum("w").alias("have_w"), F.count(F.lit(1)).alias("n_signals"))
-    miss = F.ln(squash(F.lit(float(missing_z))))
-    score = F.round(F.exp((F.col("s") + (F.col("all_w") - F.col("have_w")) * miss) / F.col("all_w")), 9)
+    per = b.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.ln("bounded")).alias("s"), F.sum("w").alias("all_w"), F.count(F.lit(1)).alias("n_signals"))
+    score = F.round(F.exp((F.col("s") + F.lit(float(prior)) * F.ln(F.lit(0.5))) / (F.col("all_w") + F.lit(float(prior)))), 9)
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "chunk_id")
-    return per.join(of_query, "query_id").withColumn("final_score", score).select("query_id", "chunk_id", "final_score", F.row_number().over(order).alias("rank"), "n_signals")
+    return per.withColumn("final_score", score).select("query_id", "chunk_id", "final_score", F.row_number().over(order).alias("rank"), "n_signals")
 
 
 def ndcg(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
