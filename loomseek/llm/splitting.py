@@ -118,7 +118,8 @@ def _work(batches: Iterator[pd.DataFrame], keys: list[str], with_text: bool) ->
 
 
 def oversized(items: DataFrame, limits: DataFrame, text: str = "text", kind: str = "kind") -> DataFrame:
-    """Rows whose text has more UTF-8 bytes than the limit of their kind, with ``max_bytes, overlap_lines``."""
+    """Rows whose text has more UTF-8 bytes than the limit of their kind, with ``n_bytes, max_bytes, overlap_lines``."""
+    items = items.drop("n_bytes", "max_bytes", "overlap_lines", "limit_kind")
     lim = limits.groupBy(F.col("kind").alias("limit_kind")).agg(F.min("max_bytes").alias("max_bytes"), F.min("overlap_lines").alias("overlap_lines")).filter(F.col("max_bytes") > 0)
     rows = items.withColumn("n_bytes", F.octet_length(text).cast("bigint"))
     return rows.join(lim, rows[kind] == lim["limit_kind"]).drop("limit_kind").filter(F.col("n_bytes") > F.col("max_bytes"))
