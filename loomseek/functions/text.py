@@ -36,7 +36,9 @@ def code_terms(text: Column) -> Column:
     def forms(atom: Column) -> Column:
         segments = _parts(atom, r"\.")
         delimited = F.flatten(F.transform(segments, lambda s: F.concat(F.array(s), F.flatten(F.transform(_parts(s, "[_-]"), lambda p: F.concat(F.array(p), split_camel(p)))))))
-        return F.array_distinct(F.transform(F.concat(F.array(atom), delimited), lambda t: F.lower(t)))
+        every = F.array_distinct(F.transform(F.concat(F.array(atom), delimited), lambda t: F.lower(t)))
+        # most atoms are plain words: one form
+        return F.when(atom.rlike(r"^\p{Lu}?[^\p{Lu}._\-]*$"), F.array(F.lower(atom))).otherwise(every)
 
     return F.flatten(F.transform(atoms(text), forms))
 
@@ -48,8 +50,8 @@ def whitespace_terms(text: Column) -> Column:
 
 def terms_or_words(text: Column) -> Column:
     """Code terms, or white-space words where there are none."""
-    t = code_terms(text)
-    return F.when(F.size(t) > 0, t).otherwise(whitespace_terms(text))
+    either = F.filter(F.array(code_terms(text), whitespace_terms(text)), lambda t: F.size(t) > 0)
+    return F.coalesce(F.get(either, F.lit(0)), F.array().cast("array<string>"))
 
 
 def hash_terms(text: Column) -> Column:

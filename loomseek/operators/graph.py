@@ -112,14 +112,14 @@ def importers(identifiers: DataFrame, imports: DataFrame, symbols: DataFrame) ->
 def ordered_pairs(identifiers: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """Chunks that call one identifier before a later one of the query: the least place of the first precedes the greatest of the second.
 
-    Conditional aggregates over the calls of a chunk, no self-join. A pair of one name asks for two calls of it.
+    Calls are first reduced to their first and last place per caller and name, and both sides join those by key, so a
+    frequent name meets only the callers of the other. A pair of one name asks for two calls of it.
     """
     a = identifiers.filter(F.col("pos") < PAIR_IDENTIFIERS)
     pairs = a.select("query_id", F.col("pos").alias("p1"), F.col("identifier").alias("x")).join(a.select("query_id", F.col("pos").alias("p2"), F.col("identifier").alias("y")), "query_id").filter("p1 < p2").drop("p1", "p2").distinct()
     places = calls.groupBy("repo", "caller_id", "callee_name").agg(F.min("call_order").alias("lo"), F.max("call_order").alias("hi"))
-    x = pairs.join(places, F.col("x") == F.col("callee_name")).select("query_id", "x", "y", "repo", "caller_id", F.col("lo").alias("first"), F.lit(None).cast("int").alias("last"))
-    y = pairs.join(places, F.col("y") == F.col("callee_name")).select("query_id", "x", "y", "repo", "caller_id", F.lit(None).cast("int").alias("first"), F.col("hi").alias("last"))
-    hit = x.unionByName(y).groupBy("query_id", "x", "y", "repo", "caller_id").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first < last")
+    first = pairs.join(places.select("repo", "caller_id", F.col("callee_name").alias("x"), "lo"), "x")
+    hit = first.join(places.select("repo", "caller_id", F.col("callee_name").alias("y"), "hi"), ["repo", "caller_id", "y"]).filter("lo < hi")
     by = symbols.select(F.col("symbol_id").alias("caller_id"), "chunk_id").distinct()
     return hit.join(by, "caller_id").select("query_id", F.col("x").alias("identifier"), "repo", "chunk_id", F.lit("ordered_pair").alias("evidence"), F.concat(F.lit("calls "), "x", F.lit(" before "), "y").alias("detail")).distinct()
 

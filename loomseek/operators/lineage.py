@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROUNDS = 40
+from loomseek.session import staged
 
 
 def nearest_ancestor(versions: DataFrame, keep: Column, group: str = "repo", key: str = "version_id", parent: str = "parent_version") -> DataFrame:
@@ -34,21 +34,21 @@ def nearest_ancestor(versions: DataFrame, keep: Column, group: str = "repo", key
         F.lit(1).alias("hops"),
         (F.col("p_ok").isNull() | F.col("p_ok") | (F.col("p") == F.col("v"))).alias("done"),
     )
-    link = link.checkpoint() if link.sparkSession.sparkContext.getCheckpointDir() else _checkpoint(link)
-    for _ in range(MAX_ROUNDS):
+    # written, not checkpointed: a checkpoint keeps the size estimate of its joins, which squares every round
+    link = staged(link)
+    # a chain without cycle is followed to its end in so many doublings
+    for _ in range(link.count().bit_length() + 1):
         if link.filter(~F.col("done")).isEmpty():
             break
         ahead = link.select(F.col("g"), F.col("v").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("done").alias("done2"))
-        link = (
-            link.join(ahead, ["g", "to"], "left")
-            .select(
+        link = staged(
+            link.join(ahead, ["g", "to"], "left").select(
                 "g",
                 "v",
                 F.when(F.col("done"), F.col("to")).otherwise(F.col("to2")).alias("to"),
                 F.when(F.col("done"), F.col("hops")).otherwise(F.col("hops") + F.col("hops2")).alias("hops"),
                 (F.col("done") | F.coalesce(F.col("done2"), F.lit(True))).alias("done"),
             )
-            .checkpoint()
         )
     return link.select(
         F.col("g").alias(group),
@@ -57,9 +57,3 @@ def nearest_ancestor(versions: DataFrame, keep: Column, group: str = "repo", key
         F.when(F.col("done") & F.col("to").isNotNull(), F.col("hops")).alias("hops"),
     )
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    from loomseek.session import shared_dir
-
-    shared_dir(df.sparkSession)
-    return df.checkpoint()

@@ -40,7 +40,6 @@ class Index:
         vectors = one.select(F.col("chunk_id").alias("id"), "content_hash").join(vecs, "content_hash").select("id", "vec")
         terms = chunk_stream(F.col("text"), F.col("symbol"), F.col("calls"))
         sparse = build_index(one, "chunk_id", terms)
-        sparse.postings = staged(sparse.postings)
         sparse.docs = staged(sparse.postings.groupBy("id").agg(F.sum("tf").alias("dl")))
         sparse.terms = staged(sparse.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
         sparse.corpus = sparse.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
