@@ -90,7 +90,7 @@ class _Classes(dict):
         elif c == "`":
             kind = BAD if len(token) < 2 else TEMPLATE if "${" not in token or _substitutions(token, self.ts) else BAD
         elif c.isdigit() or c == "." and len(token) > 1:
-            kind = NUMBER
+            kind = BAD if token[-1] == "n" and c == "0" and token[1:2].isdigit() else NUMBER
         elif c == "#" and len(token) > 1:
             kind = PRIVATE
         elif c == "$" or c == "_" or c.isidentifier() or c == "\\" and len(token) > 2:

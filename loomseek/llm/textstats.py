@@ -165,6 +165,7 @@ def byte_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     cjk = 3 * l_wide > 0.5 * visible
     dots = np.zeros(n, dtype=bool)
     dots[1:] = (data[1:] == ord(".")) & (data[:-1] == ord("."))
+    dots[starts] = False
     leader = _sums(dots, edges) >= 3
     separated = (l_commas >= 3) & (l_commas > 0.3 * l_words)
     listed = bullet & (l_words <= 12) & ~ended
@@ -181,6 +182,9 @@ def byte_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     ends[1:] &= (data[:-1] == ord(".")) | (data[:-1] == ord("?")) | (data[:-1] == ord("!"))
     same = np.zeros(n, dtype=bool)
     same[1:] = (data[1:] == data[:-1]) & solid[1:] & ~is_["letter"][1:]
+    # nothing comes before the first byte of a document
+    heads = offsets[:-1][offsets[:-1] < n]
+    ends[heads] = same[heads] = False
     return {
         "n_bytes": np.diff(offsets),
         "words": np.bincount(w_doc, minlength=n_docs),
