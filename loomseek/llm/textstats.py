@@ -142,7 +142,14 @@ def byte_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     count = lambda sel: np.bincount(w_line[sel], minlength=n_lines)
     l_words, l_common, l_alpha = np.bincount(w_line, minlength=n_lines), count(is_common), count(alpha_word)
     l_bytes = edges[1:] - edges[:-1]
+    # the marks of tags around words say nothing against the words
+    tag = np.zeros(n, dtype=bool)
+    tag[:-1] = (data[:-1] == ord("<")) & (is_["letter"][1:] | (data[1:] == ord("/")))
+    tag[1:] |= (data[1:] == ord(">")) & (is_["letter"][:-1] | (data[:-1] == ord('"')) | (data[:-1] == ord("/")))
+    tag[1:] |= (data[1:] == ord("/")) & (data[:-1] == ord("<"))
+    l_tags = _sums(tag, edges)
     l_letters, l_digits, l_symbols, l_high = (_sums(is_[k], edges) for k in ("letter", "digit", "symbol", "high"))
+    l_symbols = l_symbols - l_tags
     l_solid = _sums(solid, edges)
     l_commas = _sums((data == ord(",")) | (data == ord("|")) | (data == 9) | (data == ord(";")), edges)
     # first and last visible byte of the line
@@ -158,7 +165,8 @@ def byte_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     fb = np.where(quoted, data[ws[second]] if len(ws) else 0, fb)
     fw_len = np.where(has, (we - ws)[np.minimum(first_w, max(len(ws) - 1, 0))] if len(ws) else 0, 0)
     numbered = has & _IS["digit"][fb]
-    bullet = has & (_IS["bullet"][fb] | (numbered & (fw_len <= 5))) 
+    tagged = has & (fb == ord("<")) & (l_tags >= 2)
+    bullet = has & ~tagged & (_IS["bullet"][fb] | (numbered & (fw_len <= 5))) 
     visible = np.maximum(l_solid, 1)
     wide, frequent = _cjk_masks(data)
     l_wide, l_frequent = _sums(wide, edges), _sums(frequent, edges)
