@@ -11,8 +11,6 @@ comparison for one run at a time, with the tree saved beside the output.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -152,16 +150,31 @@ class MerkleStore:
     def __init__(self, spark: SparkSession, path: str, leaf_bits: int = 8):
         self.spark, self.path, self.leaf_bits = spark, path, leaf_bits
 
-    def _pointer(self) -> str:
-        return os.path.join(self.path, "CURRENT")
+    def _files(self):
+        """Hadoop's view of the store's file system, so the store may lie wherever Spark can write."""
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs, path.getFileSystem(sc._jsc.hadoopConfiguration())
 
     def generation(self) -> str | None:
         """The published generation, or None before the first."""
-        try:
-            with open(self._pointer()) as f:
-                return json.load(f)["generation"]
-        except FileNotFoundError:
-            return None
+        hadoop, fs = self._files()
+        pointer = hadoop.Path(self.path, "CURRENT")
+        return self.spark.read.text(pointer.toString()).first()["value"] if fs.exists(pointer) else None
+
+    def _publish(self, generation: str) -> None:
+        hadoop, fs = self._files()
+        draft, pointer = hadoop.Path(self.path, f"draft-{generation}"), hadoop.Path(self.path, "CURRENT")
+        out = fs.create(draft, True)
+        out.writeBytes(generation)
+        out.close()
+        rename = hadoop.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(draft), fs.makeQualified(pointer), how)
+
+    def _at(self, generation: str, part: str) -> str:
+        return f"{self.path.rstrip('/')}/{generation}/{part}"
 
     def tree(self, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         """``leaf, key, digest`` of a table. A null key is dropped; of repeated keys the largest digest counts."""
@@ -179,7 +192,7 @@ class MerkleStore:
         g = self.generation()
         if g is None:
             return current.select("key", F.lit("added").alias("change"))
-        saved = self.spark.read.parquet(os.path.join(self.path, g, "tree"))
+        saved = self.spark.read.parquet(self._at(g, "tree"))
         live = None
         for depth, (a, b) in enumerate(zip(self._levels(current), self._levels(saved))):
             a, b = a.select("node", F.col("digest").alias("x")), b.select("node", F.col("digest").alias("y"))
@@ -206,14 +219,11 @@ class MerkleStore:
         out = self.changes(current)
         rows = df.withColumn("_key", F.col(key).cast("string")).select("_key", *columns).dropDuplicates(["_key"])
         out = out.join(rows, out["key"] == rows["_key"], "left").drop("_key")
-        (process(out) if process else out).write.parquet(os.path.join(self.path, g, "output"))
-        current.write.parquet(os.path.join(self.path, g, "tree"))
-        draft = os.path.join(self.path, f"{g}.json")
-        with open(draft, "w") as f:
-            json.dump({"generation": g}, f)
-        os.replace(draft, self._pointer())
+        (process(out) if process else out).write.parquet(self._at(g, "output"))
+        current.write.parquet(self._at(g, "tree"))
+        self._publish(g)
         return g
 
     def output(self) -> DataFrame:
         """The output of the published generation."""
-        return self.spark.read.parquet(os.path.join(self.path, self.generation(), "output"))
+        return self.spark.read.parquet(self._at(self.generation(), "output"))

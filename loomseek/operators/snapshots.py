@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomseek.operators.lineage import nearest_ancestor
+from loomseek.operators.spread import spread_rank
+from loomseek.session import staged
 
 
 def snapshot_chains(reports: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -89,12 +91,13 @@ def snapshot_changes(snapshots: DataFrame, reports: DataFrame) -> DataFrame:
             )
         ).alias("e"),
     ).select("repo", "chain", "file_path", "hash", "e.status", "e.at")
-    events = events.join(chains.select("repo", "chain", "at", "version_id"), ["repo", "chain", "at"]).select("repo", "version_id", "status", "file_path", "hash")
+    events = staged(events.join(chains.select("repo", "chain", "at", "version_id"), ["repo", "chain", "at"]).select("repo", "version_id", "status", "file_path", "hash"))
     moved = events.filter((F.col("status") != "modified") & F.col("hash").isNotNull())
     # only hashes on both sides can be renames: the pairing windows hold nothing else
     sides = moved.groupBy("repo", "version_id", "hash").agg(F.countDistinct("status").alias("n")).filter("n = 2").select("repo", "version_id", "hash")
     both = moved.join(sides, ["repo", "version_id", "hash"], "left_semi")
-    numbered = both.withColumn("n", F.row_number().over(Window.partitionBy("repo", "version_id", "hash", "status").orderBy("file_path")))
+    # copies of one content may be many: their numbers come from a range partitioning, not from one task
+    numbered = spread_rank(both, ["repo", "version_id", "hash", "status"], [F.col("file_path")], "n")
     pairs = numbered.groupBy("repo", "version_id", "hash", "n").agg(F.max(F.when(F.col("status") == "added", F.col("file_path"))).alias("new"), F.max(F.when(F.col("status") == "deleted", F.col("file_path"))).alias("old"))
     paired = pairs.select(
         "repo",

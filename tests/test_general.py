@@ -171,3 +171,22 @@ def test_many_equal_files_pair_in_order(spark):
     got = rows(snapshot_changes(spark.createDataFrame(snaps, SNAPS), v), "status", "file_path", "old_path")
     assert [g for g in got if g[0] == "renamed"] == [("renamed", f"new{i:02}", f"old{i:02}") for i in range(17)]
     assert [g[1] for g in got if g[0] == "deleted"] == ["old17", "old18", "old19"]
+
+
+def test_spread_rank_and_median(spark):
+    from loomseek.operators.spread import spread_median, spread_rank
+
+    rnd = random.Random(8)
+    data = [("hot" if rnd.random() < 0.6 else f"g{rnd.randrange(9)}", float(rnd.randrange(20)), i) for i in range(2000)]
+    df = spark.createDataFrame(data, "g string, v double, i int").repartition(5)
+    want = {}
+    for g in {d[0] for d in data}:
+        for n, d in enumerate(sorted((d for d in data if d[0] == g), key=lambda d: (-d[1], d[2]))):
+            want[d[2]] = n + 1
+    got = spread_rank(df, ["g"], [F.desc("v"), F.col("i")]).collect()
+    assert {r["i"]: r["rank"] for r in got} == want and all(r["rank_of"] == sum(d[0] == r["g"] for d in data) for r in got[:20])
+    import statistics
+
+    med = {r["g"]: r["median"] for r in spread_median(df, ["g"], "v", "i").collect()}
+    assert med == {g: statistics.median(d[1] for d in data if d[0] == g) for g in med}
+    assert spread_rank(df.limit(0), ["g"], [F.col("i")]).count() == 0
