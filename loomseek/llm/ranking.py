@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomseek.operators.spread import spread_median, spread_rank
+from loomseek.session import staged
+
 #: Weights of the signals; others count as DEFAULT_WEIGHT.
 WEIGHTS = {"dense": 1.0, "sparse": 0.5, "structural": 0.25, "rerank": 1.0}
 DEFAULT_WEIGHT = 0.5
@@ -29,16 +32,14 @@ def standardised(ranked: DataFrame) -> DataFrame:
     """
     real = ranked.filter(F.col("score").isNotNull() & ~F.isnan("score") & F.col("query_id").isNotNull() & F.col("signal").isNotNull() & F.col("chunk_id").isNotNull())
     one = real.groupBy("query_id", "signal", "chunk_id").agg(F.max("score").cast("double").alias("score"))
-    group = Window.partitionBy("query_id", "signal")
+    by = ["query_id", "signal"]
     finite = F.when(F.abs("score") < F.lit(float("inf")), F.col("score"))
-    one = (
-        one.withColumn("high", F.max(finite).over(group))
-        .withColumn("low", F.min(finite).over(group))
-        .withColumn("score", F.coalesce(F.greatest(F.col("low"), F.least(F.col("high"), F.col("score"))), F.lit(0.0)))
-    )
-    centre = one.groupBy("query_id", "signal").agg(F.median("score").alias("mid"))
-    off = one.join(centre, ["query_id", "signal"]).withColumn("off", F.abs(F.col("score") - F.col("mid")))
-    spread = off.groupBy("query_id", "signal").agg(F.median("off").alias("mad"), F.avg("off").alias("mean_off"))
+    ends = one.groupBy(*by).agg(F.max(finite).alias("high"), F.min(finite).alias("low"))
+    one = staged(one.join(ends, by).withColumn("score", F.coalesce(F.greatest(F.col("low"), F.least(F.col("high"), F.col("score"))), F.lit(0.0))).select(*by, "chunk_id", "score"))
+    # medians by rank: exact, and no task holds a whole query
+    centre = spread_median(one, by, "score", "chunk_id").withColumnRenamed("median", "mid")
+    off = staged(one.join(centre, by).withColumn("off", F.abs(F.col("score") - F.col("mid"))))
+    spread = spread_median(off, by, "off", "chunk_id").withColumnRenamed("median", "mad").join(off.groupBy(*by).agg(F.avg("off").alias("mean_off")), by)
     unit = F.when(F.col("mad") > 0, F.lit(CONSISTENCY) * F.col("mad")).when(F.col("mean_off") > 0, F.lit(1.2533) * F.col("mean_off"))
     z = F.coalesce((F.col("score") - F.col("mid")) / unit, F.lit(0.0))
     return off.join(spread, ["query_id", "signal"]).withColumn("z", z).withColumn("bounded", squash(F.col("z"))).select("query_id", "signal", "chunk_id", "score", "z", "bounded")
@@ -63,8 +64,8 @@ def fused_ranking(ranked: DataFrame, weights: dict[str, float] = WEIGHTS, prior:
     b = b.withColumn("w", w)
     per = b.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.ln("bounded")).alias("s"), F.sum("w").alias("all_w"), F.count(F.lit(1)).alias("n_signals"))
     score = F.round(F.exp((F.col("s") + F.lit(float(prior)) * F.ln(F.lit(0.5))) / (F.col("all_w") + F.lit(float(prior)))), 9)
-    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "chunk_id")
-    return per.withColumn("final_score", score).select("query_id", "chunk_id", "final_score", F.row_number().over(order).alias("rank"), "n_signals")
+    scored = per.select("query_id", "chunk_id", score.alias("final_score"), "n_signals")
+    return spread_rank(scored, ["query_id"], [F.desc("final_score"), F.col("chunk_id")]).select("query_id", "chunk_id", "final_score", F.col("rank").cast("int").alias("rank"), "n_signals")
 
 
 def ndcg(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
