@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomseek.functions import text as T
 from loomseek.functions.paths import canonical_path
 from loomseek.functions.vector import cosine, hash_embed, l2_normalise, norm
-from loomseek.operators import dense, families, fusion, graph, metrics, ranks, rerank, sparse
+from loomseek.operators import ann, dense, families, fusion, graph, metrics, ranks, rerank, sparse
 from loomseek.operators.chunking import chunk_files as cut_files
 from loomseek.operators.lineage import nearest_ancestor
 from loomseek.plans import pipeline, planner
@@ -178,6 +178,14 @@ def dense_pairs(spark, sf_dir):
     return dense.pairs_above(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), 0.3).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query()
+def ann_recall(spark, sf_dir):
+    """Recall at 10 of the cell index: 32 cells, 20 probes for vectors without clusters."""
+    v = _vectors(spark, sf_dir)
+    qs = v.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return ann.recall(ann.cell_topk(v, qs, ann.fit_centres(v, 32), 10, 20), v, qs, 10)
+
+
 @query("""SELECT DISTINCT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_inner_product(e, e)), 6) AS first, 1.0 AS self_cosine
 FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL)""")
 def l2_normalised(spark, sf_dir):

@@ -334,3 +334,50 @@ def test_pipeline_results_obey_the_contract(spark):
         rs.sort(key=lambda r: r["rank"])
         assert [r["rank"] for r in rs] == list(range(1, len(rs) + 1)) and len({r["chunk_id"] for r in rs}) == len(rs)
         assert all(a["rrf_score"] >= b["rrf_score"] for a, b in zip(rs, rs[1:]))
+
+
+def test_cell_index_recall(spark):
+    from conftest import DATA
+
+    from loomseek.operators import ann
+    from loomseek.reference_queries import QUERIES
+
+    assert QUERIES["ann_recall"](spark, DATA).first()["recall"] >= 0.9
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)] + [(50, None), (51, [1.0])], "id int, vec array<double>")
+    c = ann.fit_centres(df, 3)
+    assert ann.cell_topk(df, df.filter("id < 2").withColumnRenamed("id", "query_id"), c, 2, 3).count() == 4
+
+
+def test_registry(spark, tmp_path):
+    from loomseek.plans.registry import Registry
+
+    r = Registry(spark, str(tmp_path / "m"))
+    assert r.active() is None
+    with pytest.raises(LookupError):
+        r.resolve()
+    one = spark.createDataFrame([("v1", "h1"), ("v2", "h2")], "version_id string, content_hash string")
+    r.publish("v1", one.filter("version_id = 'v1'"))
+    r.publish("v2", one.filter("version_id = 'v2'"), "v1")
+    assert r.active() == "v2" and r.resolve("v1") == "v1"
+    r.use("v1")
+    assert r.active() == "v1" and r.versions().count() == 2
+    r.remove("v1")
+    assert r.active() == "v2"
+    blobs = spark.createDataFrame([("h1",), ("h2",)], "content_hash string")
+    assert rows(r.garbage(blobs, one), "content_hash") == [("h1",)]
+
+
+def test_engine(spark):
+    from conftest import DATA
+
+    from loomseek.api import Engine
+    from loomseek.session import table
+
+    e = Engine(*[table(spark, DATA, t) for t in ("chunks", "symbols", "calls", "imports", "exports")])
+    name = e.index.chunks.filter("symbol IS NOT NULL").orderBy("chunk_id").first()["symbol"]
+    got = e.query(f"which functions call {name}", 5, refine=False).collect()
+    assert 0 < len(got) <= 5 and all(0 <= r["score"] <= 1 and r["match_reason"] for r in got)
+    with pytest.raises(ValueError):
+        e.query(" ")
+    with pytest.raises(ValueError):
+        e.query("x", 0)
