@@ -96,14 +96,14 @@ def tokenizers(spark, sf_dir):
 
 _INDEX = f"""{_DOCS},
 tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_terms_or_words('text')}) AS term FROM docs0) GROUP BY ALL),
-dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"""
+dl AS (SELECT id, sum(tf)::BIGINT AS dl FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl)"""
 
 
 def _index(spark, sf_dir):
     return sparse.build_index(_docs(spark, sf_dir), "doc_id", T.terms_or_words(F.col("text")))
 
 
-@query(f"WITH {_INDEX} SELECT df.term AS term, df, sum(tf) AS cf FROM df JOIN tf USING (term) GROUP BY ALL")
+@query(f"WITH {_INDEX} SELECT df.term AS term, df, sum(tf)::BIGINT AS cf FROM df JOIN tf USING (term) GROUP BY ALL")
 def term_stats(spark, sf_dir):
     i = _index(spark, sf_dir)
     return i.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -186,7 +186,7 @@ def ann_recall(spark, sf_dir):
     return ann.recall(ann.cell_topk(v, qs, ann.fit_centres(v, 32), 10, 20), v, qs, 10)
 
 
-@query("""SELECT DISTINCT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_inner_product(e, e)), 6) AS first, 1.0 AS self_cosine
+@query("""SELECT DISTINCT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_inner_product(e, e)), 6) AS first, 1.0::DOUBLE AS self_cosine
 FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL)""")
 def l2_normalised(spark, sf_dir):
     v = _vectors(spark, sf_dir).filter("vec IS NOT NULL").withColumn("u", l2_normalise(F.col("vec")))
@@ -330,7 +330,7 @@ _TYPE = "CASE length(query_id) % 4 WHEN 0 THEN 'structural' WHEN 1 THEN 'semanti
 
 @query(f"""WITH {_IDS}, {_REPS}, {_tiers()}, hits AS ({' UNION ALL '.join('SELECT * FROM (' + s + ')' for s in _SHAPES.values())}),
 routed AS (SELECT * FROM (SELECT h.*, tier, row_number() OVER (PARTITION BY query_id, h.evidence, identifier ORDER BY chunk_id) AS n FROM hits h JOIN tiers t ON t.evidence = h.evidence AND t.query_type = {_TYPE}) WHERE n <= 200),
-f AS (SELECT query_id, chunk_id, round(max(tier) + 0.01 * least(count(DISTINCT evidence) - 1, 5), 9) AS score, count(DISTINCT evidence) AS kinds FROM routed GROUP BY ALL)
+f AS (SELECT query_id, chunk_id, round(max(tier)::DOUBLE + 0.01 * least(count(DISTINCT evidence) - 1, 5), 9) AS score, count(DISTINCT evidence) AS kinds FROM routed GROUP BY ALL)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 50""")
 def structural_topk(spark, sf_dir):
     kind = F.element_at(F.array(*[F.lit(t) for t in ("structural", "semantic", "usage", "hybrid")]), (F.length("query_id") % 4 + 1).cast("int"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,13 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
+def _remove_staged(spark: SparkSession) -> None:
+    """Best effort: the JVM may be gone already."""
+    try:
+        for path in _STAGED:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        pass
+
+
 def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again.
 
-    Unlike a cache it survives the loss of executors, and it cuts the lineage.
+    Unlike a cache it survives the loss of executors, and it cuts the lineage. The files go when the
+    interpreter ends; a reader may need them until then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    if not _STAGED:
+        atexit.register(_remove_staged, spark)
+    _STAGED.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
