@@ -602,6 +602,23 @@ def agent_two_pass(spark, sf_dir):
     return pipeline.answer(_chunk_index(spark, sf_dir), _titles(spark, sf_dir)).select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank", "passes", "stop_reason")
 
 
+@query()
+def eval_search(spark, sf_dir):
+    """The benchmark's search: every title against all documents, two signals, 100 results each.
+
+    Vectors of hashed terms and the evaluation BM25, fused with fixed weights. Equal titles are searched once.
+    """
+    asked = table(spark, sf_dir, "documents").filter("title IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("asked_id"), F.col("title").alias("text")).distinct()
+    texts = asked.select("text").distinct().select(F.md5("text").alias("query_id"), "text")
+    docs = _docs(spark, sf_dir)
+    terms = texts.select("query_id", F.explode(T.eval_terms(F.col("text"))).alias("term"))
+    lexical = sparse.bm25_eval_topk(sparse.build_index(docs, "doc_id", T.eval_terms(F.col("text"))), terms, 100).select("query_id", F.lit("sparse").alias("signal"), F.col("id").alias("chunk_id"), "rank")
+    vectors = staged(hash_embed(docs, "doc_id", "text")).withColumnRenamed("doc_id", "id")
+    near = dense.dense_topk(vectors, staged(hash_embed(texts, "query_id", "text")), 100).select("query_id", F.lit("dense").alias("signal"), F.col("id").alias("chunk_id"), "rank")
+    fused = fusion.rrf(lexical.unionByName(near), DEFAULT.eval_weights, renormalise=False, signals=["dense", "sparse"]).filter("rank <= 100")
+    return asked.withColumn("query_id", F.md5("text")).join(fused, "query_id").select(F.col("asked_id").alias("query_id"), F.col("chunk_id").alias("doc_id"), "rrf_score", "rank")
+
+
 # --- extensions ------------------------------------------------------------------------------------------------
 
 
