@@ -16,10 +16,14 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda s: s != "")
 
 
+def _camel_spaced(text: Column) -> Column:
+    spaced = F.regexp_replace(text, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
+    return F.regexp_replace(spaced, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+
+
 def split_camel(word: Column) -> Column:
     """Parts at lower-or-digit to upper case, and before the last capital of a run; digits do not split."""
-    spaced = F.regexp_replace(word, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
-    return F.split(F.regexp_replace(spaced, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2"), " ")
+    return F.split(_camel_spaced(word), " ")
 
 
 def atoms(text: Column) -> Column:
@@ -76,7 +80,7 @@ def eval_terms(text: Column) -> Column:
 
 def lexical_terms(text: Column) -> Column:
     """Terms of the lexical reranker: split at what is not alphanumeric and at changes of case, lower case."""
-    return F.transform(F.flatten(F.transform(_extract(text, "[A-Za-z0-9]+"), split_camel)), lambda t: F.lower(t))
+    return F.transform(_extract(_camel_spaced(text), "[A-Za-z0-9]+"), lambda t: F.lower(t))
 
 
 def normalised_text(text: Column) -> Column:

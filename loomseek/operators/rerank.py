@@ -18,12 +18,14 @@ K1, PHRASE, SPAN = 1.2, 0.35, 6.0
 LONGEST = 4096
 
 
-def lexical_similarity(query: Column, document: Column) -> Column:
-    """Saturated coverage of the query's distinct terms, and a bonus where its terms stand in a row; in [0, 1]."""
-    q, d = lexical_terms(query), lexical_terms(document)
+def lexical_similarity(q: Column, d: Column) -> Column:
+    """Saturated coverage of the query's distinct terms, and a bonus where its terms stand in a row; in [0, 1].
+
+    ``q`` and ``d`` are the terms of query and document. Give columns, not expressions: they are read once per query term.
+    """
     distinct = F.array_distinct(q)
-    tf = lambda t: F.size(F.filter(d, lambda x: x == t)).cast("double")
-    total = F.aggregate(distinct, F.lit(0.0), lambda s, t: s + tf(t) / (tf(t) + K1))
+    counts = F.transform(distinct, lambda t: F.size(F.filter(d, lambda x: x == t)).cast("double"))
+    total = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n / (n + K1))
     cover = F.when(F.size(distinct) > 0, total / F.size(distinct)).otherwise(0.0)
     phrase = (F.size(q) > 0) & F.contains(F.array_join(d, " "), F.array_join(q, " "))
     return F.least(F.lit(1.0), F.when(phrase, cover + (1 - cover) * PHRASE).otherwise(cover))
@@ -35,8 +37,9 @@ def sigmoid(logit: Column) -> Column:
 
 def lexical_rerank(pairs: DataFrame, query: str = "query_text", document: str = "text") -> DataFrame:
     """``pairs`` with ``rerank_score``; documents are cut at LONGEST characters, a model's usual limit."""
-    sim = lexical_similarity(F.col(query), F.substring(F.col(document), 1, LONGEST))
-    return pairs.withColumn("rerank_score", F.round(sigmoid(F.lit(SPAN) * (2 * sim - 1)), 9))
+    terms = pairs.withColumn("_q", lexical_terms(F.col(query))).withColumn("_d", lexical_terms(F.substring(F.col(document), 1, LONGEST)))
+    scored = terms.withColumn("_sim", lexical_similarity(F.col("_q"), F.col("_d")))
+    return scored.withColumn("rerank_score", F.round(sigmoid(F.lit(SPAN) * (2 * F.col("_sim") - 1)), 9)).drop("_q", "_d", "_sim")
 
 
 def model_rerank(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], query: str = "query_text", document: str = "text", by: str = "query_id") -> DataFrame:
