@@ -83,3 +83,16 @@ def recall(approximate: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     exact = dense_topk(vectors, queries, k).select("query_id", "id")
     found = exact.join(approximate.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return found.agg(F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)), 6).alias("recall"))
+
+
+#: From so many vectors on cells are searched instead of everything.
+EXACT_BELOW = 50_000
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact below EXACT_BELOW vectors; beyond, cells by the square root of their number, of which five eighths are probed."""
+    n = vectors.count()
+    if n < EXACT_BELOW:
+        return dense_topk(vectors, queries, k)
+    cells = min(4096, int(n**0.5))
+    return cell_topk(vectors, queries, fit_centres(vectors, cells), k, max(1, cells * 5 // 8))

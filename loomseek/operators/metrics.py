@@ -87,3 +87,13 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
         return df.join(counts.withColumn(f"r_{c}", upto - (F.col("_n") - 1) / 2).drop("_n"), c)
 
     return ranked(ranked(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), x), y).agg(F.round(F.corr(f"r_{x}", f"r_{y}"), 6).alias("rho"))
+
+
+def restricted(run: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The results of a run that are among the allowed ``query_id, doc_id``."""
+    return run.join(allowed.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+
+
+def unknown_ids(run: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``doc_id`` that a run returned though the corpus has none such; a sound run has no rows here."""
+    return run.select("doc_id").distinct().join(corpus.select("doc_id").distinct(), "doc_id", "left_anti")

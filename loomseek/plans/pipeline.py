@@ -14,7 +14,7 @@ from loomseek.operators.fusion import merge_lists, rrf
 from loomseek.operators.graph import structural_search
 from loomseek.operators.rerank import final_order, lexical_rerank, sufficiency
 from loomseek.operators.sparse import SparseIndex, bm25_topk, build_index, chunk_stream
-from loomseek.plans.planner import effective_queries, plan_queries, refine_plans
+from loomseek.plans.planner import effective_queries, mined_identifiers, plan_queries, refine_plans
 from loomseek.session import staged
 from loomseek.settings import DEFAULT, Settings
 
@@ -60,7 +60,9 @@ def fan_out(index: Index, plans: DataFrame, settings: Settings = DEFAULT) -> Dat
         d.withColumnsRenamed({"query_id": "sub_id", "id": "chunk_id"}).join(of_sub, "sub_id").select("query_id", F.lit(name).alias("signal"), "list_id", "chunk_id", "score", "rank")
         for name, d in (("dense", dense), ("sparse", sparse))
     ]
-    graph = structural_search(plans, index.symbols, index.calls, index.imports, index.exports, settings.structural_width)
+    # a plan without identifiers looks up what its text has of code-like tokens
+    looked = plans.withColumn("identifiers", F.when(F.size("identifiers") > 0, F.col("identifiers")).otherwise(mined_identifiers("original_query")))
+    graph = structural_search(looked, index.symbols, index.calls, index.imports, index.exports, settings.structural_width)
     lists.append(graph.select("query_id", F.lit("structural").alias("signal"), F.lit(0).alias("list_id"), "chunk_id", "score", "rank"))
     return merge_lists(lists[0].unionByName(lists[1]).unionByName(lists[2]), settings.rrf_k)
 

@@ -115,3 +115,21 @@ def add_blobs(blobs_path: str, new: DataFrame) -> None:
 
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
+
+
+def parse_name_status(output: str) -> list[tuple[str, str, str | None]]:
+    """``(path, status, old_path)`` of a version control system's name-status listing, tab- or NUL-separated.
+
+    Statuses are their first letters; renames and copies have two paths, of which the second is the new one.
+    """
+    fields = [f for f in output.replace("\n", "\x00").replace("\t", "\x00").split("\x00") if f]
+    rows, at = [], 0
+    while at < len(fields):
+        status = fields[at][:1]
+        width = 2 if status in "RC" else 1
+        paths = fields[at + 1 : at + 1 + width]
+        if status not in "AMDRCTU" or len(paths) < width:
+            break
+        rows.append((paths[-1], status, paths[0] if width == 2 else None))
+        at += 1 + width
+    return rows

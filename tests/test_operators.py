@@ -381,3 +381,48 @@ def test_engine(spark):
         e.query(" ")
     with pytest.raises(ValueError):
         e.query("x", 0)
+
+
+def test_reindex_counts_avoided_work(spark):
+    from loomseek.plans.reindex import file_hashes, reindex
+
+    def files(d):
+        return spark.createDataFrame([("r", p, c) for p, c in d.items()], "repo string, file_path string, content string")
+
+    def body(name):
+        return f"function {name}(input, options) {{\n  const value = input.items.map((x) => x.price);\n  return options.owner || value;\n}}\n"
+
+    v1 = files({"a.js": body("alpha"), "b.js": body("beta"), "c.js": body("gamma")})
+    empty_chunks = spark.createDataFrame([], "repo string, chunk_id string, content_hash string, text string, file_path string, version_id string")
+    blobs = spark.createDataFrame([], "content_hash string, model_id string, dim int, vec array<double>")
+    none = spark.createDataFrame([], "path string, hash string")
+    one = reindex(empty_chunks, none, v1, blobs, "v1")
+    assert one.report == {"chunk_count": 3, "chunks_carried": 0, "chunks_rebuilt": 3, "embed_calls": 3, "blobs_reused": 0}
+    # b changes, c is renamed, a only changes its line ends
+    v2 = files({"a.js": body("alpha").replace("\n", "\r\n"), "b.js": body("delta"), "moved.js": body("gamma")})
+    two = reindex(one.chunks, file_hashes(v1), v2, one.new_blobs, "v2")
+    assert two.report == {"chunk_count": 3, "chunks_carried": 1, "chunks_rebuilt": 2, "embed_calls": 1, "blobs_reused": 2}
+    assert rows(two.chunks, "file_path", "version_id") == [("a.js", "v2"), ("b.js", "v2"), ("moved.js", "v2")]
+    same = reindex(two.chunks, file_hashes(v2), v2, two.new_blobs.unionByName(one.new_blobs), "v3")
+    assert same.report["embed_calls"] == 0 and same.report["chunks_carried"] == 3
+
+
+def test_name_status():
+    assert src.parse_name_status("A\tx.js\nR100\told.js\tnew.js\nD\tz.js\n") == [("x.js", "A", None), ("new.js", "R", "old.js"), ("z.js", "D", None)]
+    assert src.parse_name_status("M\x00a b.js\x00C75\x00p\x00q\x00") == [("a b.js", "M", None), ("q", "C", "p")] and src.parse_name_status("") == []
+
+
+def test_run_fence_and_restriction(spark):
+    run = spark.createDataFrame([("q", "1", 1.0), ("q", "9", 0.5)], "query_id string, doc_id string, score double")
+    corpus = spark.createDataFrame([("1",)], "doc_id string")
+    assert rows(metrics.unknown_ids(run, corpus), "doc_id") == [("9",)]
+    assert metrics.restricted(run, spark.createDataFrame([("q", "1")], "query_id string, doc_id string")).count() == 1
+
+
+def test_refined_plans_differ(spark):
+    q = spark.createDataFrame([("a", "how is fetchUser validated"), ("b", "plain words only")], "query_id string, text string")
+    p = planner.plan_queries(q)
+    r = planner.refine_plans(p, spark.createDataFrame([("a", 5)], "query_id string, n_results int"))
+    got = {x["query_id"]: x for x in r.collect()}
+    assert got["a"]["sub_queries"] == ["fetchUser"] and got["b"]["sub_queries"] == []
+    assert {x["query_id"]: x["differs"] for x in planner.plans_differ(p, r).collect()}["a"]
