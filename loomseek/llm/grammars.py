@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import warnings
 
+#: Frames that a nested program may take: about ten a level.
+DEPTH = 100_000
+
 # Words with a role of their own in the grammar.
 RESERVED = (
     "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new "
@@ -1426,6 +1430,9 @@ def _reduced(shape: str, ts: bool) -> str:
 
 
 def javascript(text: str, ts: bool = False) -> bool:
+    # nesting is recursion here, of Python frames only
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)
     if text.startswith("#!"):
         text = text[2 + len(text[2:].split("\n", 1)[0]) :]
     shape = _shape(text, ts)

@@ -30,7 +30,7 @@ K = 16
 WINDOW = 8
 BITS = 1 << 26
 RANGE = 32768
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Share of an item's fingerprints that a document must hit to be aligned, and at least so many.
 HIT_SHARE = 0.08
 LEAST_HITS = 2
@@ -97,8 +97,15 @@ def _fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.frombuffer(norm.buffers()[1], dtype=np.int64)[norm.offset : norm.offset + len(norm) + 1]
     if norm.buffers()[2] is None or ends[-1] == ends[0]:
         return winnow(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    data = np.frombuffer(norm.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]
-    return winnow(data, ends - ends[0])
+    data, offsets = np.frombuffer(norm.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    # a very long text is taken in segments that overlap by what one window sees
+    parts, at = [], 0
+    while at < len(data):
+        segment = data[at : at + STEP_BYTES + K + WINDOW]
+        text, pos, h = winnow(segment, np.clip(offsets - at, 0, len(segment)))
+        parts.append((text, pos, h))
+        at += STEP_BYTES
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +152,8 @@ def _corpus_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Re
             bit = (h % np.uint64(BITS)).astype(np.int64)
             hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             t, h = t[hit], h[hit]
+            order = np.argsort(t, kind="stable")
+            t, h = t[order], h[order]
             if not len(t):
                 continue
             rows, first, n = np.unique(t, return_index=True, return_counts=True)

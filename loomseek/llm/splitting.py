@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_BYTES = 1 << 20
+#: Bytes of one range; a Python batch holds as many ranges as Arrow's batch has rows.
+RANGE_BYTES = 1 << 15
 
 
 def _char_start(b: bytes, at: int) -> int:

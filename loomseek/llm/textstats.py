@@ -221,17 +221,35 @@ def _stat_batches(batches: Iterator[pa.RecordBatch], id_column: str, id_type: pa
         texts = batch.column(1).cast(pa.large_string())
         ids = batch.column(0)
         ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        at = 0
+        at, buf = 0, texts.buffers()[2]
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP_BYTES, side="right")) - 1)
-            off = ends[at : to + 1] - ends[at]
-            buf = texts.buffers()[2]
             data = np.frombuffer(buf, dtype=np.uint8)[ends[at] : ends[to]] if buf is not None else np.zeros(0, np.uint8)
-            stats = byte_statistics(data, off)
+            if len(data) <= 2 * STEP_BYTES:
+                stats = byte_statistics(data, ends[at : to + 1] - ends[at])
+            else:
+                stats = _in_parts(data)
             yield pa.record_batch([ids.slice(at, to - at).cast(id_type), *[pa.array(stats[k].astype(np.int64)) for k in STATS]], names=["id", *STATS])
             at = to
 
 
+def _in_parts(data: np.ndarray) -> dict[str, np.ndarray]:
+    """The statistics of one very long document: sums over parts that end with a line, else with a word."""
+    total, at = dict.fromkeys(STATS, 0), 0
+    while at < len(data):
+        end = min(len(data), at + STEP_BYTES)
+        if end < len(data):
+            for mark in (10, 32):
+                hit = np.flatnonzero(data[at:end] == mark)
+                if len(hit):
+                    end = at + int(hit[-1]) + 1
+                    break
+        part = byte_statistics(data[at:end], np.array([0, end - at]))
+        total = {k: total[k] + int(part[k][0]) for k in STATS}
+        at = end
+    return {k: np.array([v]) for k, v in total.items()}
+
+
 def text_statistics(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and the STATS, as counts, of every row with a text that is not blank.
 

@@ -377,3 +377,33 @@ def test_ndcg(spark):
     run = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "query_id string, chunk_id string, rank int")
     qrels = spark.createDataFrame([("q", "b", 3.0), ("q", "c", 1.0), ("p", "a", 1.0)], "query_id string, chunk_id string, grade double")
     assert ranking.ndcg(run, qrels).first()["ndcg"] == round((3 / np.log2(3)) / (3 + 1 / np.log2(3)) / 2, 6)
+
+
+# --- very long texts
+
+
+def test_long_documents_in_parts(monkeypatch):
+    rnd = random.Random(12)
+    text = "".join(rnd.choice(PROSE + JUNK) + "\n" for _ in range(300))
+    b = text.encode()
+    whole = textstats.byte_statistics(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    monkeypatch.setattr(textstats, "STEP_BYTES", 1000)
+    parts = textstats._in_parts(np.frombuffer(b, np.uint8))
+    assert all(parts[k][0] == whole[k][0] for k in textstats.STATS)
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["a b", text, "c"])], names=["id", "text"])
+    out = pa.Table.from_batches(list(textstats._stat_batches([batch], "id", pa.int64()))).to_pydict()
+    assert out["id"] == [1, 2, 3] and out["words"] == [2, int(whole["words"][0]), 1]
+
+
+def test_long_texts_keep_their_fingerprints(monkeypatch):
+    rnd = random.Random(13)
+    text = "".join(rnd.choice("abcdefghijklmnop") for _ in range(5000))
+    whole = set(leakage._fingerprints(pa.array(["x", text]))[2].tolist())
+    monkeypatch.setattr(leakage, "STEP_BYTES", 700)
+    t, _, h = leakage._fingerprints(pa.array(["x", text]))
+    assert whole <= set(h.tolist()) and set(t.tolist()) == {1}
+
+
+def test_deep_nesting_is_valid():
+    assert grammars.valid("javascript", "x = " + "(" * 900 + "1" + ")" * 900 + ";") and grammars.valid("javascript", "if (a) {" * 900 + "}" * 900)
+    assert not grammars.valid("javascript", "x = " + "(" * 900 + ")" * 900 + ";")
