@@ -13,6 +13,8 @@ scan. The bitmap has BITS bits whatever the number of items; the join after it i
 from __future__ import annotations
 
 import bisect
+import html
+import unicodedata
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,9 +45,10 @@ _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[^\W_]+")
 
 
 def normalised(texts: pa.Array) -> pa.Array:
-    """Lower-case letters and digits only; markup tags vanish with their brackets."""
+    """Lower-case letters and digits only; markup tags and escapes of line ends vanish."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    texts = pc.replace_substring_regex(texts, r"</?[A-Za-z][A-Za-z0-9]{0,9}>", "")
+    texts = pc.replace_substring_regex(texts, r"\\[nrt]", "")
+    texts = pc.utf8_normalize(pc.replace_substring_regex(texts, r"</?[A-Za-z][A-Za-z0-9]{0,9}>", ""), "NFKC")
     return pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pN]+", "")
 
 
@@ -170,8 +173,17 @@ def corpus_hits(documents: DataFrame, prints: DataFrame) -> DataFrame:
     return rows.mapInArrow(partial(_corpus_batches, shared=shared), "doc_id bigint, text string, hs array<bigint>")
 
 
+_TAG = regex.compile(r"</?[A-Za-z][A-Za-z0-9]{0,9}>")
+_HIDDEN = regex.compile(r"\p{Cf}")
+
+
 def words(text: str) -> list[str]:
-    return _WORD.findall(regex.sub(r"</?[A-Za-z][A-Za-z0-9]{0,9}>", "", text).lower())
+    """Lower-case words without tags, invisible characters (soft hyphens among them) and escapes of line ends."""
+    if "\\" in text:
+        text = regex.sub(r"\\[nrt]", " ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKC", _TAG.sub("", text))).lower())
 
 
 def held_share(item: list[str], doc: list[str], run: int = 3) -> float:

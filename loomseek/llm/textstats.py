@@ -147,6 +147,15 @@ def byte_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     tag[:-1] = (data[:-1] == ord("<")) & (is_["letter"][1:] | (data[1:] == ord("/")))
     tag[1:] |= (data[1:] == ord(">")) & (is_["letter"][:-1] | (data[:-1] == ord('"')) | (data[:-1] == ord("/")))
     tag[1:] |= (data[1:] == ord("/")) & (data[:-1] == ord("<"))
+    # nor do the marks of emphasis: a star or underscore between a letter and none, and its double
+    star = (data == ord("*")) | (data == ord("_"))
+    before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    before[1:], after[:-1] = core[:-1], core[1:]
+    mark = star & (before ^ after)
+    outer = np.zeros(n, dtype=bool)
+    outer[1:] |= mark[:-1]
+    outer[:-1] |= mark[1:]
+    tag |= mark | (star & outer)
     l_tags = _sums(tag, edges)
     l_letters, l_digits, l_symbols, l_high = (_sums(is_[k], edges) for k in ("letter", "digit", "symbol", "high"))
     l_symbols = l_symbols - l_tags
@@ -166,6 +175,7 @@ def byte_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     fw_len = np.where(has, (we - ws)[np.minimum(first_w, max(len(ws) - 1, 0))] if len(ws) else 0, 0)
     numbered = has & _IS["digit"][fb]
     tagged = has & (fb == ord("<")) & (l_tags >= 2)
+    tagged |= has & ((fb == ord("*")) | (fb == ord("_"))) & (fw_len > 1)
     bullet = has & ~tagged & (_IS["bullet"][fb] | (numbered & (fw_len <= 5))) 
     visible = np.maximum(l_solid, 1)
     wide, frequent = _cjk_masks(data)
@@ -283,8 +293,8 @@ def labelling_functions() -> dict:
         "digits": (of("digits", 0.12), [0.05, 0.1, 0.6, 0.1, 0.3]),
         "bullets": (_share("bullet_lines", "lines", 0.5), [0.05, 0.8, 0.5, 0.2, 0.2]),
         "short_items": (of("list_bytes", 0.5), [0.03, 0.9, 0.4, 0.3, 0.5]),
-        "rows": (of("row_bytes", 0.4), [0.03, 0.1, 0.9, 0.3, 0.2]),
-        "code_lines": (of("code_bytes", 0.4), [0.03, 0.1, 0.3, 0.9, 0.3]),
+        "rows": (of("row_bytes", 0.5), [0.03, 0.1, 0.9, 0.3, 0.2]),
+        "code_lines": (of("code_bytes", 0.5), [0.03, 0.1, 0.3, 0.9, 0.3]),
         "short_lines": (_share("short_lines", "lines", 0.5), [0.1, 0.7, 0.4, 0.3, 0.5]),
         "long_words": (F.col("long_words") > 0, [0.03, 0.05, 0.2, 0.2, 0.6]),
         "repeats": (of("repeats", 0.1), [0.02, 0.1, 0.1, 0.1, 0.4]),

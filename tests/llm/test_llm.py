@@ -156,11 +156,13 @@ def test_leaks(spark):
         (1, "Intro text here.\n\n> " + ITEM.upper().replace(" ", "\n> ") + "\n\nand more"),
         (10, ITEM),
         (11, ITEM),
+        (12, ITEM.replace("ra", "r\u00ada").replace("th", "t\u200bh").replace(" 832 ", " &#56;32 ")),
+        (13, "\\n".join(w)),
         (None, ITEM),
     ]
     d = spark.createDataFrame([(*r, 5, "x") for r in docs], "doc_id bigint, text string, item_id int, h string")
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "too short"), (1, ITEM), (5, "An item that nobody holds, about harbours and cranes and long cold winters in the north of the country.")], "item_id bigint, text string")
-    assert rows(leakage.leaks(d, items), "doc_id", "item_id") == sorted(((i, 1) for i in (1, 2, 3, 8, 9, 10, 11)), key=lambda t: (False, str(t[0])))
+    assert rows(leakage.leaks(d, items), "doc_id", "item_id") == sorted(((i, 1) for i in (1, 2, 3, 8, 9, 10, 11, 12, 13)), key=lambda t: (False, str(t[0])))
     assert leakage.leaks(d.limit(0), items).count() == 0 and leakage.leaks(d, items.limit(0)).count() == 0
 
 
@@ -198,6 +200,7 @@ PROSE = [
     "> Das Ergebnis hängt vor allem von der Größe des Puffers ab. Wir haben die alte Fassung behalten, weil sie auch ohne Netz lesbar bleibt.",
     "失敗した場合でも、前の版はそのまま残ります。処理には約1160秒かかりますが、結果は常に同じです。",
     "大约1685秒之后，任务会自动结束。如果缓存为空，系统会重新读取索引。我们发现问题出在重复写入的记录上。",
+    "**Each** _of_ the 491 helpers _hauls_ at most 11 masks, and a **helper** tires once the __depth__ passes it. We kept the old queue because it is *easy* to trust.",
     "Il vaut mieux corriger le code que d'ajouter une exception de plus.\n\n- un\n- deux\n\nLa réponse dépend surtout de la taille du tampon, et nous avons choisi cette forme parce qu'elle reste lisible.",
 ]
 JUNK = [
