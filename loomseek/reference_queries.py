@@ -362,7 +362,18 @@ def callee_resolution(spark, sf_dir):
     return graph.calls_of(c, graph.symbols_of(c)).select("repo", "caller_id", "callee_name", "call_order", "callee_id")
 
 
-@query()
+_TRIES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(["", *graph.EXTENSIONS, *[f"/index{e}" for e in graph.EXTENSIONS]]))
+
+
+@query(f"""WITH RECURSIVE sp AS (SELECT DISTINCT repo, file_path, module_spec, regexp_replace(file_path, '[^/]+$', '') || module_spec AS path FROM imports WHERE starts_with(module_spec, '.')),
+walk AS (
+  SELECT DISTINCT path, list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda s: s NOT IN ('', '.')) AS steps, 1 AS i, []::VARCHAR[] AS acc FROM sp
+  UNION ALL
+  SELECT path, steps, i + 1, CASE WHEN steps[i] = '..' AND len(acc) > 0 AND acc[-1] <> '..' THEN acc[:len(acc) - 1] ELSE list_append(acc, steps[i]) END FROM walk WHERE i <= len(steps)
+),
+canon AS (SELECT path, array_to_string(acc, '/') AS cpath FROM walk WHERE i = len(steps) + 1), tries(n, t) AS (VALUES {_TRIES}), known AS (SELECT DISTINCT repo, file_path AS candidate FROM source_files),
+hits AS (SELECT sp.repo, sp.file_path, sp.module_spec, arg_min(candidate, n) AS resolved FROM sp JOIN canon USING (path) CROSS JOIN tries JOIN known ON known.repo = sp.repo AND candidate = cpath || t GROUP BY ALL)
+SELECT sp.repo, sp.file_path, sp.module_spec, resolved FROM sp LEFT JOIN hits ON hits.repo = sp.repo AND hits.file_path = sp.file_path AND hits.module_spec = sp.module_spec""")
 def module_resolution(spark, sf_dir):
     """Relative module specifiers resolved to known files by extension and index."""
     i = table(spark, sf_dir, "imports").filter(F.startswith("module_spec", F.lit(".")))
@@ -430,7 +441,12 @@ def rank_correlation(spark, sf_dir):
     return metrics.spearman(table(spark, sf_dir, "reindex_reports").select("run_id", "elapsed_ms", "embed_calls").distinct(), "elapsed_ms", "embed_calls")
 
 
-@query()
+@query(f"""WITH {_RANKED}, w(w) AS (VALUES (0.0::DOUBLE), (0.05), (0.1), (0.15), (0.2), (0.3), (0.4), (0.5)), j AS (SELECT query_id, chunk_id, max(grade) AS grade FROM qrels GROUP BY ALL),
+f AS (SELECT w, query_id, chunk_id, round(sum(CASE signal WHEN 'dense' THEN 1 - w ELSE w END / (60 + rank)), 9) AS s FROM r, w WHERE signal IN ('dense', 'sparse') AND CASE signal WHEN 'dense' THEN 1 - w ELSE w END > 0 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY w, query_id ORDER BY s DESC, chunk_id) AS n FROM f),
+g AS (SELECT w, query_id, sum(grade / log2(n + 1)) AS dcg FROM k JOIN j USING (query_id, chunk_id) WHERE n <= 10 GROUP BY ALL),
+i AS (SELECT query_id, sum(grade / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS n FROM j) WHERE n <= 10 GROUP BY ALL)
+SELECT w.w AS sparse_weight, round(avg(coalesce(dcg / idcg, 0)), 6) AS ndcg FROM i CROSS JOIN w LEFT JOIN g ON g.query_id = i.query_id AND g.w = w.w GROUP BY ALL""")
 def weight_sweep(spark, sf_dir):
     """NDCG at 10 of the two-signal fusion for eight sparse weights."""
     return fusion.weight_sweep(_ranked(spark, sf_dir), _qrels(spark, sf_dir), [0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5])
