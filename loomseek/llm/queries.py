@@ -114,8 +114,7 @@ def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_ranking, p4_quality, p7_found, p7_rates, p5_found, p5_pieces, p8_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_types, p10_counts)}
 
-ORACLES = {
-    "p4_ranking": """
+_FUSED = """
 WITH s AS (SELECT query_id, signal, chunk_id, max(score) AS score FROM ranked WHERE score IS NOT NULL AND lower(CAST(score AS VARCHAR)) NOT LIKE '%nan%' GROUP BY ALL),
 m AS (SELECT query_id, signal, median(score) AS mid FROM s GROUP BY ALL),
 o AS (SELECT s.*, mid, abs(score - mid) AS off FROM s JOIN m USING (query_id, signal)),
@@ -124,7 +123,23 @@ z AS (SELECT query_id, signal, chunk_id, CASE WHEN mad > 0 THEN (score - mid) /
   CASE signal WHEN 'sparse' THEN 0.5 WHEN 'structural' THEN 0.25 ELSE 1.0 END AS w FROM o JOIN d USING (query_id, signal)),
 b AS (SELECT *, 1 / (1 + exp(-greatest(-30.0, least(30.0, z)))) AS bounded FROM z),
 f AS (SELECT query_id, chunk_id, round(exp((sum(w * ln(bounded)) + ln(0.5)) / (sum(w) + 1.0)), 9) AS final_score, count(*) AS n_signals FROM b GROUP BY ALL)
+"""
+
+ORACLES = {
+    "p4_ranking": _FUSED
+    + """
 SELECT query_id, chunk_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank, n_signals FROM f""",
+    "p4_quality": _FUSED
+    + """,
+runs AS (
+  SELECT 'fused' AS ranking, query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM f
+  UNION ALL SELECT signal, query_id, chunk_id, row_number() OVER (PARTITION BY query_id, signal ORDER BY score DESC, chunk_id) FROM s
+  UNION ALL SELECT 'raw sum', query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, chunk_id) FROM (SELECT query_id, chunk_id, sum(score) AS total FROM s GROUP BY ALL)
+),
+j AS (SELECT query_id, chunk_id, max(grade) AS grade FROM qrels WHERE grade > 0 GROUP BY ALL),
+i AS (SELECT query_id, sum(grade / log2(n + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, chunk_id) AS n FROM j) WHERE n <= 10 GROUP BY ALL),
+g AS (SELECT ranking, query_id, sum(grade / log2(rank + 1)) AS gain FROM runs JOIN j USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY ALL)
+SELECT k.ranking, round(avg(coalesce(gain, 0) / ideal), 6) AS ndcg, count(*) AS queries FROM i CROSS JOIN (SELECT DISTINCT ranking FROM runs) k LEFT JOIN g ON g.query_id = i.query_id AND g.ranking = k.ranking GROUP BY ALL""",
     "p5_found": "SELECT DISTINCT chunk_id FROM chunks JOIN chunk_limits USING (kind) WHERE strlen(text) > max_bytes",
     "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
     "p10_counts": r"""
