@@ -259,7 +259,7 @@ def test_identifiers_claim_their_span():
 
 
 def test_chunk_text_covers_the_file():
-    text = "// head\nconst a = 1;\n\n/** Doc. */\nexport function first(x) {\n  return second(x) + obj.third(x);\n}\n\nclass Box {\n  get(y) {\n    return y;\n  }\n}\n" + "function big() {\n" + "  work(alpha, beta, gamma, delta);\n" * 200 + "}\n"
+    text = "// head\nconst a = compute(one, two, three, four, five, six);\n\n/** Doc. */\nexport function first(x) {\n  return second(x) + obj.third(x);\n}\n\nclass Box {\n  get(y) {\n    return y;\n  }\n}\n" + "function big() {\n" + "  work(alpha, beta, gamma, delta);\n" * 200 + "}\n"
     got = chunking.chunk_text(text, "a.js")
     data = text.encode()
     for c in got:
