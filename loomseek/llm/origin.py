@@ -238,8 +238,8 @@ def file_origins(chunks: DataFrame) -> DataFrame:
     )
     third_party = path_mark | (F.col("foreign") > 0)
     data = (share("literal", "visible") >= LITERAL) & (F.col("defined") == 0) & (F.col("visible") >= 200)
-    # a style alone may be a file of another language: it needs a third party's mark or no tie to the repository
-    vendored = third_party | (foreign_style & (F.col("imports") == 0) & template)
+    # a style alone may be that of one author: without a third party's mark the file must have no tie to the repository
+    vendored = third_party | (foreign_style & (F.col("imports") == 0))
     origin = (
         F.when(mangled, "minified")
         .when(F.col("bundle") >= 3, "bundled")

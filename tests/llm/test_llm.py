@@ -352,6 +352,16 @@ def test_origins(spark):
     assert origin.file_origins(df.limit(0)).count() == 0
 
 
+def test_foreign_style_is_vendored(spark):
+    copy = "".join(f"function {v}_{n}(input_value) {{\n  return input_value.{n};\n}}\n" for v, n in [("restore", "sensor"), ("seal", "journal"), ("merge", "cobalt"), ("expand", "ember")])
+    words = [a + b for a in ("Harbor", "Packet", "Vertex", "Meadow", "Socket", "Bundle") for b in ("Owner", "Store", "Reader", "Writer", "Index", "Lease", "Queue", "Graph")]
+    files = {f"src/own{i}.js": HAND.replace("Lantern", w) for i, w in enumerate(words)} | {"src/copy.js": copy, "src/tied.js": "import { a } from './own0.js';\n" + copy}
+    # in a repository of that very style it is no copy
+    rows_ = [("r", p, t, 1, p) for p, t in files.items()] + [("s", f"src/{i}.js", copy, 1, f"s{i}") for i in range(4)]
+    df = spark.createDataFrame(rows_, "repo string, file_path string, text string, start_line int, chunk_id string")
+    assert rows(origin.file_origins(df).filter("origin <> 'hand-written'"), "repo", "file_path", "origin") == [("r", "src/copy.js", "vendored")]
+
+
 # --- ranking
 
 
