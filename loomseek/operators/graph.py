@@ -163,13 +163,19 @@ def fold_evidence(hits: DataFrame, query_types: DataFrame, k: int) -> DataFrame:
     return top_ranked(folded.withColumn("score", score), k, ["query_id"]).select("query_id", "chunk_id", "score", "rank", F.array_join(F.transform("details", lambda d: d["d"]), "; ").alias("reason"))
 
 
-def structural_search(plans: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, exports: DataFrame, k: int) -> DataFrame:
-    """plans: ``query_id, query_type, identifiers``. Graph evidence, and substrings for queries without any."""
+def structural_search(plans: DataFrame, symbols: DataFrame, calls: DataFrame, imports: DataFrame, exports: DataFrame, k: int, widest: int | None = None) -> DataFrame:
+    """plans: ``query_id, query_type, identifiers``. Graph evidence, and substrings for queries without any.
+
+    All evidence is folded before the best ``k`` are taken. With ``widest``, the reference's way, only so many chunks of least
+    id count per query, kind and identifier; what lies beyond is lost whatever its score.
+    """
     ids = plans.select("query_id", F.posexplode("identifiers").alias("pos", "identifier")).filter(F.col("identifier") != "")
     exact = reduce(DataFrame.unionByName, [definitions(ids, symbols), callers(ids, calls, symbols), callees(ids, calls, symbols), exporters(ids, exports, symbols), importers(ids, imports, symbols), ordered_pairs(ids, calls, symbols)])
     routed = exact.join(plans.select("query_id", "query_type"), "query_id").join(F.broadcast(routing(exact.sparkSession).drop("tier")), ["query_type", "evidence"], "left_semi")
-    capped = Window.partitionBy("query_id", "evidence", "identifier").orderBy("chunk_id")
-    routed = routed.withColumn("_n", F.row_number().over(capped)).filter(F.col("_n") <= k * OVERSAMPLE).drop("_n", "query_type")
+    if widest is not None:
+        capped = Window.partitionBy("query_id", "evidence", "identifier").orderBy("chunk_id")
+        routed = routed.withColumn("_n", F.row_number().over(capped)).filter(F.col("_n") <= widest).drop("_n")
+    routed = routed.drop("query_type")
     lost = ids.join(routed.select("query_id").distinct(), "query_id", "left_anti")
     hits = routed.unionByName(substring_hits(lost, symbols))
     return fold_evidence(hits, plans.select("query_id", "query_type"), k)

@@ -328,14 +328,25 @@ def _tiers() -> str:
 _TYPE = "CASE length(query_id) % 4 WHEN 0 THEN 'structural' WHEN 1 THEN 'semantic' WHEN 2 THEN 'usage' ELSE 'hybrid' END"
 
 
+def _typed_plans(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("structural", "semantic", "usage", "hybrid")]), (F.length("query_id") % 4 + 1).cast("int"))
+    return _ids(spark, sf_dir).select("query_id", kind.alias("query_type"), F.array("identifier").alias("identifiers"))
+
+
 @query(f"""WITH {_IDS}, {_REPS}, {_tiers()}, hits AS ({' UNION ALL '.join('SELECT * FROM (' + s + ')' for s in _SHAPES.values())}),
 routed AS (SELECT * FROM (SELECT h.*, tier, row_number() OVER (PARTITION BY query_id, h.evidence, identifier ORDER BY chunk_id) AS n FROM hits h JOIN tiers t ON t.evidence = h.evidence AND t.query_type = {_TYPE}) WHERE n <= 200),
 f AS (SELECT query_id, chunk_id, round(max(tier)::DOUBLE + 0.01 * least(count(DISTINCT evidence) - 1, 5), 9) AS score, count(DISTINCT evidence) AS kinds FROM routed GROUP BY ALL)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 50""")
 def structural_topk(spark, sf_dir):
-    kind = F.element_at(F.array(*[F.lit(t) for t in ("structural", "semantic", "usage", "hybrid")]), (F.length("query_id") % 4 + 1).cast("int"))
-    plans = _ids(spark, sf_dir).select("query_id", kind.alias("query_type"), F.array("identifier").alias("identifiers"))
-    return graph.structural_search(plans, *_graph(spark, sf_dir), 50).select("query_id", "chunk_id", "score", "rank")
+    """The reference's way: 200 chunks at most per query, kind of evidence and identifier; structural_exact drops none."""
+    return graph.structural_search(_typed_plans(spark, sf_dir), *_graph(spark, sf_dir), 50, 50 * graph.OVERSAMPLE).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(f"""WITH {_IDS}, {_REPS}, {_tiers()}, hits AS ({' UNION ALL '.join('SELECT * FROM (' + s + ')' for s in _SHAPES.values())}),
+f AS (SELECT query_id, chunk_id, round(max(tier)::DOUBLE + 0.01 * least(count(DISTINCT h.evidence) - 1, 5), 9) AS score FROM hits h JOIN tiers t ON t.evidence = h.evidence AND t.query_type = {_TYPE} GROUP BY ALL)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 50""")
+def structural_exact(spark, sf_dir):
+    return graph.structural_search(_typed_plans(spark, sf_dir), *_graph(spark, sf_dir), 50).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("""WITH c AS (SELECT DISTINCT call_id, callee_id FROM calls)

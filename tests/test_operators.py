@@ -159,6 +159,17 @@ def test_evidence_score(spark):
     assert len(r) == 1 and round(r[0]["score"], 6) == 0.84 and r[0]["reason"] == "calls x; defines x"
 
 
+def test_popular_identifiers_keep_all_their_evidence(spark):
+    # the last of 9 callers by id is also a definition; with k = 2, 8 chunks were looked at
+    symbols = spark.createDataFrame([(i, "r", f"c{i}", "hot" if i == 9 else f"f{i}", "function", "a.js", i) for i in range(1, 10)], "symbol_id int, repo string, chunk_id string, symbol string, kind string, file_path string, start_line int")
+    calls = spark.createDataFrame([("r", i, "hot", 1, None) for i in range(1, 10)], "repo string, caller_id int, callee_name string, call_order int, callee_id int")
+    imports = spark.createDataFrame([], "repo string, file_path string, module_spec string, imported_name string")
+    exports = spark.createDataFrame([], "repo string, exported_name string, file_path string, symbol_id int")
+    plans = spark.createDataFrame([("q", "usage", ["hot"])], "query_id string, query_type string, identifiers array<string>")
+    assert [r["chunk_id"] for r in graph.structural_search(plans, symbols, calls, imports, exports, 2).orderBy("rank").collect()] == ["c9", "c1"]
+    assert [r["chunk_id"] for r in graph.structural_search(plans, symbols, calls, imports, exports, 2, 8).orderBy("rank").collect()] == ["c1", "c2"]
+
+
 def test_callee_resolution(spark):
     symbols = spark.createDataFrame([(1, "r", "a.js", "x"), (2, "r", "b.js", "x"), (3, "r", "b.js", "y"), (4, "r", "a.js", "z"), (5, "r", "b.js", "z"), (6, "r", "a.js", "z")], "symbol_id int, repo string, file_path string, symbol string")
     calls = spark.createDataFrame([("r", "c.js", "x"), ("r", "c.js", "y"), ("r", "a.js", "z"), ("r", "c.js", None)], "repo string, file_path string, callee_name string")
