@@ -15,6 +15,7 @@ from loomseek.settings import DEFAULT, Settings
 
 # Saturation, share of the headroom for a verbatim phrase, and span of the logit.
 K1, PHRASE, SPAN = 1.2, 0.35, 6.0
+# Fixed value: the reference cuts documents here.
 LONGEST = 4096
 
 
@@ -35,15 +36,22 @@ def sigmoid(logit: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), logit))))
 
 
-def lexical_rerank(pairs: DataFrame, query: str = "query_text", document: str = "text") -> DataFrame:
-    """``pairs`` with ``rerank_score``; documents are cut at LONGEST characters, a model's usual limit."""
-    terms = pairs.withColumn("_q", lexical_terms(F.col(query))).withColumn("_d", lexical_terms(F.substring(F.col(document), 1, LONGEST)))
+def _head(document: str, longest: int | None) -> Column:
+    return F.col(document) if longest is None else F.substring(F.col(document), 1, longest)
+
+
+def lexical_rerank(pairs: DataFrame, query: str = "query_text", document: str = "text", longest: int | None = None) -> DataFrame:
+    """``pairs`` with ``rerank_score`` over whole documents; ``longest`` is the reference's cut, in characters."""
+    terms = pairs.withColumn("_q", lexical_terms(F.col(query))).withColumn("_d", lexical_terms(_head(document, longest)))
     scored = terms.withColumn("_sim", lexical_similarity(F.col("_q"), F.col("_d")))
     return scored.withColumn("rerank_score", F.round(sigmoid(F.lit(SPAN) * (2 * F.col("_sim") - 1)), 9)).drop("_q", "_d", "_sim")
 
 
-def model_rerank(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], query: str = "query_text", document: str = "text", by: str = "query_id") -> DataFrame:
-    """``pairs`` with the ``rerank_score`` of a batch scorer of logits; a query with any NaN keeps its order (null scores)."""
+def model_rerank(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], query: str = "query_text", document: str = "text", by: str = "query_id", longest: int | None = None) -> DataFrame:
+    """``pairs`` with the ``rerank_score`` of a batch scorer of logits; a query with any NaN keeps its order (null scores).
+
+    ``longest`` cuts the documents, in characters, for scorers that have a limit.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def score(q: pd.Series, d: pd.Series) -> pd.Series:
@@ -51,7 +59,7 @@ def model_rerank(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.S
 
     from pyspark.sql import Window
 
-    scored = pairs.withColumn("_logit", score(F.col(query), F.substring(F.col(document), 1, LONGEST)))
+    scored = pairs.withColumn("_logit", score(F.col(query), _head(document, longest)))
     bad = F.max(F.isnan("_logit") | F.col("_logit").isNull()).over(Window.partitionBy(by))
     return scored.withColumn("rerank_score", F.when(~bad, F.round(sigmoid(F.col("_logit")), 9))).drop("_logit")
 

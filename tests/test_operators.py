@@ -188,6 +188,14 @@ def test_lexical_rerank_by_hand(spark):
     assert round(r[0], 5) == 0.09535 and r[1] < 0.003 and r[2] > r[0]
 
 
+def test_rerank_reads_whole_documents(spark):
+    df = spark.createDataFrame([("1", "alpha beta", "x " * 4000 + "alpha beta"), ("1", "alpha beta", "x " * 4000)], "query_id string, query_text string, text string")
+    late, never = [x["rerank_score"] for x in rerank.lexical_rerank(df).collect()]
+    assert late > never and rerank.lexical_rerank(df, longest=4096).select("rerank_score").distinct().count() == 1
+    sizes = lambda **k: [x["rerank_score"] for x in rerank.model_rerank(df, lambda q, d: (d.str.len() > 4096) * 1.0, **k).collect()]
+    assert min(sizes()) > 0.5 and max(sizes(longest=4096)) == 0.5
+
+
 def test_model_rerank_discards_a_batch_with_nan(spark):
     df = spark.createDataFrame([("1", "q", "a"), ("1", "q", "bad"), ("2", "q", "a")], "query_id string, query_text string, text string")
     r = rerank.model_rerank(df, lambda q, d: d.map(lambda t: float("nan") if t == "bad" else 0.0))
