@@ -214,6 +214,7 @@ JUNK = [
     "窓口、12、索引、0.5\n窓口\t索引\t窓口\nキュー｜索引｜任务\n" * 6,
     "2025-01-01T00:00:01Z INFO worker=3 id=77 ok\n2025-01-01T00:00:02Z WARN worker=4 id=78 slow\n" * 5,
 ]
+NO_WORDS = np.zeros(0, np.int64)
 
 
 def test_text_types(spark):
@@ -226,6 +227,36 @@ def test_text_types(spark):
     assert textstats.text_types(textstats.text_statistics(df.limit(0))).count() == 0
 
 
+LANGUAGES = [
+    "Вчера вечером мы долго гуляли по старому городу и говорили о том, как изменилась наша жизнь. Никто не знал, что будет дальше.",
+    "Ontem à noite caminhamos pela cidade velha e conversamos sobre como a nossa vida mudou. Ninguém sabia o que viria depois.",
+    "Wczoraj wieczorem długo spacerowaliśmy po starym mieście i rozmawialiśmy o tym, jak zmieniło się nasze życie. Nikt nie wiedział, co będzie dalej.",
+    "어제 저녁 우리는 오래된 도시를 오랫동안 걸으며 우리의 삶이 어떻게 변했는지 이야기했다. 앞으로 무슨 일이 일어날지 아무도 몰랐다.",
+    "مساء أمس مشينا طويلا في المدينة القديمة وتحدثنا عن كيف تغيرت حياتنا في السنوات الأخيرة. لم يعرف أحد ماذا سيحدث بعد ذلك.",
+    "Dün akşam eski şehirde uzun süre yürüdük ve hayatımızın nasıl değiştiğini konuştuk. Kimse bundan sonra ne olacağını bilmiyordu.",
+    "I går kväll gick vi länge i den gamla staden och talade om hur vårt liv hade förändrats. Ingen visste vad som skulle hända sedan.",
+    "Ieri sera abbiamo camminato a lungo nella città vecchia e abbiamo parlato di come la nostra vita è cambiata. Nessuno sapeva nulla.",
+    "เมื่อคืนนี้เราเดินเล่นในเมืองเก่าเป็นเวลานานและพูดคุยกันว่าชีวิตของเราเปลี่ยนไปอย่างไรในช่วงไม่กี่ปีที่ผ่านมา",
+    "कल शाम हम पुराने शहर में देर तक घूमते रहे और इस बारे में बात करते रहे कि हमारा जीवन कैसे बदल गया। किसी को नहीं पता था कि आगे क्या होगा।",
+]
+MORE_JUNK = [
+    "21:55:14,032 INFO flattenLatch: The payload of the graph is empty.\nT11:54:35,749 WARN probePylon: The fixture of the adapter was renewed.\n" * 6,
+    "is the lease on?\nwhere the vector is kept\nthe chunk of a fixture\na shard for each token\nhow to empty the queue\n" * 4,
+    "ok " * 90,
+    "lol " * 60,
+]
+
+
+@pytest.mark.parametrize("beside", [0, 12])
+def test_prose_of_any_language(spark, beside):
+    """Languages the corpus does not hold otherwise, alone and beside English."""
+    docs = [(i, t) for i, t in enumerate(LANGUAGES)] + [(1000 + i, t) for i, t in enumerate(MORE_JUNK + JUNK)] + [(2000 + i, t) for i, t in enumerate(PROSE * beside)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = textstats.text_types(textstats.text_statistics(df)).select("id", "p_prose").collect()
+    assert len(got) == len(docs)
+    assert not sorted(r["id"] for r in got if (r["p_prose"] >= 0.5) == (1000 <= r["id"] < 2000))
+
+
 def test_statistics_match_a_plain_count():
     rnd = random.Random(11)
     pool = PROSE + JUNK + ["", "\n", "x", "\n\n a\n", "é", " lead", "The, 'the' (the) \"of\" and-and"]
@@ -233,7 +264,7 @@ def test_statistics_match_a_plain_count():
         texts = [rnd.choice(pool) for _ in range(rnd.randrange(1, 12))]
         data = "".join(texts).encode()
         offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
-        got = textstats.byte_statistics(np.frombuffer(data, np.uint8), offsets)
+        got = textstats.byte_statistics(np.frombuffer(data, np.uint8), offsets, NO_WORDS)
         for i, t in enumerate(texts):
             b = t.encode()
             words = b.split()
@@ -242,7 +273,7 @@ def test_statistics_match_a_plain_count():
         whole = {k: v for k, v in got.items()}
         for i, t in enumerate(texts):
             b = t.encode()
-            alone = textstats.byte_statistics(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+            alone = textstats.byte_statistics(np.frombuffer(b, np.uint8), np.array([0, len(b)]), NO_WORDS)
             assert all(alone[k][0] == whole[k][i] for k in textstats.STATS), (t, [(k, alone[k][0], whole[k][i]) for k in textstats.STATS if alone[k][0] != whole[k][i]])
 
 
@@ -399,13 +430,13 @@ def test_long_documents_in_parts(monkeypatch):
     rnd = random.Random(12)
     text = "".join(rnd.choice(PROSE + JUNK) + "\n" for _ in range(300))
     b = text.encode()
-    whole = textstats.byte_statistics(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    whole = textstats.byte_statistics(np.frombuffer(b, np.uint8), np.array([0, len(b)]), NO_WORDS)
     monkeypatch.setattr(textstats, "STEP_BYTES", 1000)
-    parts = textstats._in_parts(np.frombuffer(b, np.uint8))
-    assert all(parts[k][0] == whole[k][0] for k in textstats.STATS)
+    shared = type("Shared", (), {"value": NO_WORDS})
     batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(["a b", text, "c"])], names=["id", "text"])
-    out = pa.Table.from_batches(list(textstats._stat_batches([batch], "id", pa.int64()))).to_pydict()
+    out = pa.Table.from_batches(list(textstats._stat_batches([batch], pa.int64(), shared))).to_pydict()
     assert out["id"] == [1, 2, 3] and out["words"] == [2, int(whole["words"][0]), 1]
+    assert all(out[k][1] == whole[k][0] for k in textstats.STATS)
 
 
 def test_long_texts_keep_their_fingerprints(monkeypatch):
