@@ -1,22 +1,24 @@
 """Problem 2: processing only new or changed records.
 
 Method: a Merkle tree over ranges of the hashed key. A node's digest is the XOR of
-``xxhash64(key, state)`` over the keys in its range, so the digests of a range add up along the
-tree and along time. Two states of a table are compared from the root down, and only ranges whose
-digests differ are opened.
+``xxhash64(key, state)`` over the keys in its range. Two states of a table are compared from the root down:
+only the children of nodes whose digests differ are looked at, and only the leaves that are left are read.
 
-``changed_between_runs`` evaluates all runs of a history at once; ``MerkleStore`` is the same
-comparison for one run at a time, with the tree saved beside the output.
+``MerkleStore`` does this for one run at a time, with the digests of all levels saved beside the output.
+``changed_between_runs`` replays all runs of a history at once: the tree of every epoch is saved as what each
+epoch changed in it, the digests of a run's state and of its ancestor's are compared level by level, and only
+the leaf log of ranges that differ is read.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseek.operators.lineage import nearest_ancestor
+from loomseek.session import staged
 
 #: Leaf ranges hold about this many keys; two levels of the tree differ by FAN_BITS bits.
 LEAF_KEYS = 256
@@ -26,9 +28,10 @@ FAN_BITS = 4
 SALT_ROWS = 50_000
 
 
-def _leaf_bits(n: Column) -> Column:
-    bits = F.ceil(F.log2(F.greatest(n / F.lit(LEAF_KEYS), F.lit(1.0)))).cast("int")
-    return F.least(bits, F.lit(MAX_LEAF_BITS))
+def _depth(keys: int) -> int:
+    """Bits of a leaf, in whole steps of FAN_BITS, so that a leaf holds about LEAF_KEYS of so many keys."""
+    bits = max(0, (max(keys, 1) - 1) // LEAF_KEYS).bit_length()
+    return min(MAX_LEAF_BITS, -(-bits // FAN_BITS) * FAN_BITS)
 
 
 def successful_runs(reports: DataFrame) -> DataFrame:
@@ -89,9 +92,21 @@ def state_changes(feed: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def _differs(deltas: DataFrame, spans: DataFrame, on: list[str], node: str) -> DataFrame:
-    """Runs and nodes whose digests differ between the two ends of the run's span."""
-    return deltas.join(spans, on).groupBy("repo", "version_id", node).agg(F.bit_xor("delta").alias("delta")).filter(F.col("delta") != 0).select("repo", "version_id", node)
+def merkle_history(feed: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The trees of all epochs, saved: the leaf log, the levels, and the bits of a leaf.
+
+    The log has ``repo, leaf, epoch, family_id, before, after, delta``, the levels ``level, repo, node, epoch, delta``: by
+    what the digest of the node differs from its digest at the epoch before. A digest is an XOR, so the digests of two
+    epochs differ by the XOR of the deltas between them. ``node`` is the upper ``level`` bits of the hashed key.
+    """
+    most = feed.groupBy("repo").agg(F.approx_count_distinct("family_id").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    bits = _depth(int(most or 0))
+    digest = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("family_id", c))
+    leaf = F.shiftrightunsigned(F.xxhash64("family_id"), 64 - bits).cast("int") if bits else F.lit(0)
+    log = staged(state_changes(feed, runs).select("repo", leaf.alias("leaf"), "epoch", "family_id", "before", "after", digest("before").bitwiseXOR(digest("after")).alias("delta")))
+    at_level = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("leaf", bits - n).alias("node")) for n in range(0, bits + 1, FAN_BITS)]))
+    levels = log.select("repo", "epoch", "delta", at_level.alias("at")).groupBy("at.level", "repo", "at.node", "epoch").agg(F.bit_xor("delta").alias("delta"))
+    return log, staged(levels.filter(F.col("delta") != 0), "level"), bits
 
 
 def changed_between_runs(feed: DataFrame, reports: DataFrame) -> DataFrame:
@@ -106,30 +121,26 @@ def changed_between_runs(feed: DataFrame, reports: DataFrame) -> DataFrame:
     ancestors = nearest_ancestor(reports, F.col("manifest_path").isNotNull() & F.col("read_until").isNotNull())
     from_at = runs.select("repo", F.col("version_id").alias("ancestor"), F.col("at").alias("from_at"))
     pairs = runs.join(ancestors, ["repo", "version_id"], "left").join(from_at, ["repo", "ancestor"], "left").withColumn("from_at", F.coalesce("from_at", F.lit(-1)))
-    # a span is the epochs between the two states, whichever is later
-    spans = (
+    log, levels, bits = merkle_history(feed, runs)
+    # the epochs between the two states, whichever is later
+    spans = staged(
         pairs.filter(F.col("at") != F.col("from_at"))
         .withColumn("epoch", F.explode(F.sequence(F.least("at", "from_at") + 1, F.greatest("at", "from_at"))))
         .select("repo", "version_id", "ancestor", "epoch", (F.col("at") > F.col("from_at")).alias("forward"))
     )
-    changes = state_changes(feed, runs)
-    sizes = feed.groupBy("repo").agg(F.approx_count_distinct("family_id").alias("n")).select("repo", _leaf_bits(F.col("n")).alias("bits"))
-    h = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("family_id", c))
-    leaves = (
-        changes.join(sizes, "repo")
-        .withColumn("leaf", F.shiftrightunsigned(F.xxhash64("family_id"), 64 - MAX_LEAF_BITS).cast("int"))
-        .withColumn("leaf", F.expr(f"shiftright(leaf, {MAX_LEAF_BITS} - bits)"))
-        .withColumn("delta", h("before").bitwiseXOR(h("after")))
-    )
-    nodes = leaves.groupBy("repo", "leaf", "epoch").agg(F.bit_xor("delta").alias("delta")).withColumn("branch", F.shiftright("leaf", FAN_BITS))
-    branches = nodes.groupBy("repo", "branch", "epoch").agg(F.bit_xor("delta").alias("delta"))
-    roots = branches.groupBy("repo", "epoch").agg(F.bit_xor("delta").alias("delta")).withColumn("root", F.lit(0))
-    open_roots = _differs(roots, spans, ["repo", "epoch"], "root").select("repo", "version_id")
-    open_spans = spans.join(open_roots, ["repo", "version_id"], "left_semi")
-    open_branches = _differs(branches, open_spans, ["repo", "epoch"], "branch")
-    open_leaves = _differs(nodes, open_spans.join(open_branches, ["repo", "version_id"]), ["repo", "epoch", "branch"], "leaf")
+    open_nodes = None
+    for level in range(0, bits + 1, FAN_BITS):
+        here = levels.filter(F.col("level") == level).select("repo", "node", "epoch", "delta")
+        reached = spans.select("repo", "version_id", "epoch")
+        if open_nodes is not None:
+            # only the children of nodes that differ
+            here = here.withColumn("up", F.shiftright("node", FAN_BITS))
+            reached = reached.join(open_nodes.withColumnRenamed("node", "up"), ["repo", "version_id"])
+        compared = here.join(reached, ["repo", "epoch"] + (["up"] if open_nodes is not None else []))
+        open_nodes = compared.groupBy("repo", "version_id", "node").agg(F.bit_xor("delta").alias("delta")).filter(F.col("delta") != 0).select("repo", "version_id", "node")
+    open_leaves = spans.join(open_nodes.withColumnRenamed("node", "leaf"), ["repo", "version_id"])
     found = (
-        leaves.join(open_spans.join(open_leaves, ["repo", "version_id"]), ["repo", "epoch", "leaf"])
+        log.join(open_leaves, ["repo", "leaf", "epoch"])
         .groupBy("repo", "version_id", "family_id")
         .agg(F.min(F.struct("epoch", "before"))["before"].alias("low"), F.max(F.struct("epoch", "after"))["after"].alias("high"), F.first("ancestor").alias("ancestor"), F.first("forward").alias("forward"))
         .filter(~F.col("low").eqNullSafe(F.col("high")))
@@ -142,13 +153,21 @@ def changed_between_runs(feed: DataFrame, reports: DataFrame) -> DataFrame:
 class MerkleStore:
     """Incremental runs over one keyed table, safe against failures.
 
-    A published generation is a folder with the output of the run and the tree of the table it had
-    read. Both become visible together, by the replacement of one small pointer file; a run that
-    dies before that leaves the last generation in force, and its rows are found again.
+    A generation is a folder with the changes a run found, its output, the leaves (``key, digest``) of the ranges that
+    changed, and the digests of all levels. The saved tree follows from the saved changes, not from a reading of
+    the source: what a run did not put out is not in its tree, so a row that arrives while the run reads is either
+    in both or in neither, and the next run finds it.
+
+    A generation is in force once ``commits/<number>`` names it. That file is put in place by a rename that fails
+    if the number is taken: of two runs at the same time one fails and has published nothing. The rename is atomic on
+    HDFS and POSIX file systems; on an object store it is as atomic as the store's connector makes it. A run that dies
+    before it leaves the last generation in force, and its folder is removed by the next run. There must be one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, leaf_bits: int = 8):
-        self.spark, self.path, self.leaf_bits = spark, path, leaf_bits
+        if leaf_bits % FAN_BITS or not 0 <= leaf_bits <= MAX_LEAF_BITS:
+            raise ValueError(f"leaf_bits must be a multiple of {FAN_BITS} up to {MAX_LEAF_BITS}")
+        self.spark, self.path, self.leaf_bits = spark, path.rstrip("/"), leaf_bits
 
     def _files(self):
         """Hadoop's view of the store's file system, so the store may lie wherever Spark can write."""
@@ -156,74 +175,136 @@ class MerkleStore:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm.org.apache.hadoop.fs, path.getFileSystem(sc._jsc.hadoopConfiguration())
 
-    def generation(self) -> str | None:
-        """The published generation, or None before the first."""
+    def _names(self, folder: str) -> list[str]:
         hadoop, fs = self._files()
-        pointer = hadoop.Path(self.path, "CURRENT")
-        return self.spark.read.text(pointer.toString()).first()["value"] if fs.exists(pointer) else None
+        path = hadoop.Path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    def commits(self) -> list[str]:
+        """The published generations, oldest first."""
+        names = [n for n in self._names(f"{self.path}/commits") if n.isdigit()]
+        if not names:
+            return []
+        found = self.spark.read.text([f"{self.path}/commits/{n}" for n in names]).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("n"), "value")
+        return [r["value"] for r in sorted(found.collect(), key=lambda r: r["n"])]
 
-    def _publish(self, generation: str) -> None:
+    def generation(self) -> str | None:
+        """The last published generation, or None before the first."""
+        got = self.commits()
+        return got[-1] if got else None
+
+    def _publish(self, generation: str, number: int) -> None:
         hadoop, fs = self._files()
-        draft, pointer = hadoop.Path(self.path, f"draft-{generation}"), hadoop.Path(self.path, "CURRENT")
+        draft, commit = hadoop.Path(self._at(generation, "commit")), hadoop.Path(f"{self.path}/commits/{number:012d}")
+        fs.mkdirs(commit.getParent())
         out = fs.create(draft, True)
         out.writeBytes(generation)
         out.close()
-        rename = hadoop.Options.Rename
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(draft), fs.makeQualified(pointer), how)
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(draft), fs.makeQualified(commit), how)
+
+    def vacuum(self) -> None:
+        """Removes the folders of runs that died."""
+        hadoop, fs = self._files()
+        alive = set(self.commits())
+        for name in self._names(self.path):
+            if name.startswith("g-") and name not in alive:
+                fs.delete(hadoop.Path(f"{self.path}/{name}"), True)
 
     def _at(self, generation: str, part: str) -> str:
-        return f"{self.path.rstrip('/')}/{generation}/{part}"
+        return f"{self.path}/{generation}/{part}"
 
-    def tree(self, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-        """``leaf, key, digest`` of a table. A null key is dropped; of repeated keys the largest digest counts."""
+    def _keyed(self, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+        """``leaf, key, digest`` and the row as ``_row``. Null keys drop out; of the rows of one key that with the greatest digest
+        is the key's row, for the tree and the output alike."""
         packed = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-        leaf = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 64 - self.leaf_bits).cast("int")
-        return df.filter(F.col(key).isNotNull()).groupBy(leaf.alias("leaf"), F.col(key).cast("string").alias("key")).agg(F.max(F.sha2(packed, 256)).alias("digest"))
-
-    def _levels(self, tree: DataFrame) -> list[DataFrame]:
-        """Digests by node, from the root down to the leaves."""
-        node = tree.groupBy("leaf").agg(F.bit_xor(F.xxhash64("key", "digest")).alias("digest"))
-        return [node.groupBy(F.shiftright("leaf", b).alias("node")).agg(F.bit_xor("digest").alias("digest")) for b in range(self.leaf_bits, -1, -FAN_BITS)]
-
-    def changes(self, current: DataFrame) -> DataFrame:
-        """``key, change`` (added, changed, removed) of a tree against the published one."""
-        g = self.generation()
-        if g is None:
-            return current.select("key", F.lit("added").alias("change"))
-        saved = self.spark.read.parquet(self._at(g, "tree"))
-        live = None
-        for depth, (a, b) in enumerate(zip(self._levels(current), self._levels(saved))):
-            a, b = a.select("node", F.col("digest").alias("x")), b.select("node", F.col("digest").alias("y"))
-            if live is not None:
-                up = F.shiftright("node", min(FAN_BITS, self.leaf_bits))
-                a, b = (d.withColumn("up", up).join(live, "up", "left_semi").drop("up") for d in (a, b))
-            live = a.join(b, "node", "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).select(F.col("node").alias("up"))
-        shift = self.leaf_bits % FAN_BITS
-        open_leaf = F.shiftright("leaf", shift)
-        a, b = (d.withColumn("up", open_leaf).join(live, "up", "left_semi").select("key", F.col("digest").alias(c)) for d, c in ((current, "x"), (saved, "y")))
-        return (
-            a.join(b, "key", "full_outer")
-            .filter(~F.col("x").eqNullSafe(F.col("y")))
-            .select("key", F.when(F.col("y").isNull(), "added").when(F.col("x").isNull(), "removed").otherwise("changed").alias("change"))
-        )
+        name = F.col(key).cast("string")
+        leaf = F.shiftrightunsigned(F.xxhash64(name), 64 - self.leaf_bits).cast("int") if self.leaf_bits else F.lit(0)
+        return df.filter(F.col(key).isNotNull()).select(leaf.alias("leaf"), name.alias("key"), F.sha2(packed, 256).alias("digest"), F.struct(*columns).alias("_row"))
+
+    def _levels(self, leaf_digests: DataFrame) -> DataFrame:
+        """``level, node, digest`` of all levels from the digests of the leaves (``node, digest``)."""
+        at = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("node", self.leaf_bits - n).alias("node")) for n in range(0, self.leaf_bits + 1, FAN_BITS)]))
+        return leaf_digests.select("digest", at.alias("at")).groupBy("at.level", "at.node").agg(F.bit_xor("digest").alias("digest")).filter(F.col("digest") != 0)
+
+    def _leaf_digests(self, entries: DataFrame) -> DataFrame:
+        return entries.groupBy(F.col("leaf").alias("node")).agg(F.bit_xor(F.xxhash64("key", "digest")).alias("digest")).filter(F.col("digest") != 0)
+
+    def _saved_levels(self, generation: str | None) -> dict[tuple[int, int], tuple[int, str | None]]:
+        """``(level, node) -> (digest, generation that holds the leaf)``: at most twice two to the ``leaf_bits`` entries."""
+        if generation is None:
+            return {}
+        return {(r["level"], r["node"]): (r["digest"], r["holder"]) for r in self.spark.read.parquet(self._at(generation, "levels")).collect()}
+
+    def open_leaves(self, current: dict[tuple[int, int], int], saved: dict[tuple[int, int], tuple[int, str | None]]) -> list[int]:
+        """The leaves whose digests differ, reached from the root through nodes that differ only."""
+        live = [0]
+        for level in range(0, self.leaf_bits + 1, FAN_BITS):
+            if level:
+                live = [(n << FAN_BITS) + i for n in live for i in range(1 << FAN_BITS)]
+            live = [n for n in live if current.get((level, n), 0) != saved.get((level, n), (0, None))[0]]
+        return live
 
     def run(self, df: DataFrame, key: str, columns: list[str], process=None) -> str:
-        """Processes what changed since the published generation and publishes output and tree.
+        """Processes what changed since the published generation and publishes output and tree together.
 
-        ``process`` turns the changes (joined with the new rows' columns) into the output.
+        ``process`` turns the changes (``key, change, columns``; change is added, changed or removed) into the output. The
+        source is read twice, for the digests and for the rows of ranges that differ; no whole copy of it is made.
         """
-        current = self.tree(df, key, columns)
-        g = f"g-{uuid.uuid4().hex}"
-        out = self.changes(current)
-        rows = df.withColumn("_key", F.col(key).cast("string")).select("_key", *columns).dropDuplicates(["_key"])
-        out = out.join(rows, out["key"] == rows["_key"], "left").drop("_key")
+        self.vacuum()
+        done = self.commits()
+        old, g = done[-1] if done else None, f"g-{uuid.uuid4().hex}"
+        keyed = self._keyed(df, key, columns)
+        one = keyed.groupBy("leaf", "key").agg(F.max("digest").alias("digest"))
+        current = {(r["level"], r["node"]): r["digest"] for r in self._levels(self._leaf_digests(one)).collect()}
+        saved = self._saved_levels(old)
+        leaves = self.open_leaves(current, saved)
+        found = self._changes(keyed, leaves, saved)
+        found.write.parquet(self._at(g, "changes"))
+        found = self.spark.read.schema(found.schema).parquet(self._at(g, "changes"))
+        out = found.select("key", "change", "_row.*")
         (process(out) if process else out).write.parquet(self._at(g, "output"))
-        current.write.parquet(self._at(g, "tree"))
-        self._publish(g)
+        self._save_tree(g, found, leaves, saved)
+        self._publish(g, len(done))
         return g
 
+    def _read_leaves(self, leaves: list[int], saved: dict) -> DataFrame:
+        """The saved ``leaf, key, digest`` of the given ranges; other files are not opened."""
+        held = [(n, saved[(self.leaf_bits, n)][1]) for n in leaves if (self.leaf_bits, n) in saved]
+        schema = "key string, digest string"
+        rows = self.spark.read.schema(schema).parquet(*[self._at(g, f"leaves/leaf={n}") for n, g in held]) if held else self.spark.createDataFrame([], schema)
+        leaf = F.shiftrightunsigned(F.xxhash64("key"), 64 - self.leaf_bits).cast("int") if self.leaf_bits else F.lit(0)
+        return rows.select(leaf.alias("leaf"), "key", "digest")
+
+    def _changes(self, keyed: DataFrame, leaves: list[int], saved: dict) -> DataFrame:
+        """``leaf, key, digest, change, _row`` of the open ranges."""
+        wanted = F.broadcast(self.spark.createDataFrame([(n,) for n in leaves], "leaf int"))
+        now = keyed.join(wanted, "leaf", "left_semi").groupBy("leaf", "key").agg(F.max("digest").alias("digest"), F.max_by("_row", "digest").alias("_row"))
+        before = self._read_leaves(leaves, saved).select(F.col("leaf").alias("old_leaf"), F.col("key").alias("old_key"), F.col("digest").alias("old"))
+        both = now.join(before, now["key"] == before["old_key"], "full_outer").filter(~F.col("digest").eqNullSafe(F.col("old")))
+        change = F.when(F.col("old").isNull(), "added").when(F.col("digest").isNull(), "removed").otherwise("changed")
+        return both.select(F.coalesce("leaf", "old_leaf").alias("leaf"), F.coalesce("key", "old_key").alias("key"), "digest", change.alias("change"), "_row")
+
+    def _save_tree(self, g: str, found: DataFrame, leaves: list[int], saved: dict) -> None:
+        """The saved tree with the changes of this run: new files for the ranges that changed, the rest stays where it is."""
+        before = self._read_leaves(leaves, saved)
+        kept = before.join(found.select("key"), "key", "left_anti").select("leaf", "key", "digest")
+        entries = kept.unionByName(found.filter(F.col("change") != "removed").select("leaf", "key", "digest"))
+        entries.repartition("leaf").write.partitionBy("leaf").parquet(self._at(g, "leaves"))
+        schema = "leaf int, key string, digest string"
+        entries = self.spark.read.schema(schema).parquet(self._at(g, "leaves"))
+        opened = set(leaves)
+        nodes = [(n, d, h) for (level, n), (d, h) in saved.items() if level == self.leaf_bits and n not in opened]
+        nodes += [(r["node"], r["digest"], g) for r in self._leaf_digests(entries).collect()]
+        table = self.spark.createDataFrame(nodes, "node int, digest bigint, holder string")
+        holders = table.select(F.lit(self.leaf_bits).alias("level"), "node", "holder")
+        self._levels(table).join(holders, ["level", "node"], "left").coalesce(1).write.parquet(self._at(g, "levels"))
+
     def output(self) -> DataFrame:
         """The output of the published generation."""
         return self.spark.read.parquet(self._at(self.generation(), "output"))
+
+    def tree(self) -> DataFrame:
+        """The saved ``leaf, key, digest`` of the published generation."""
+        saved = self._saved_levels(self.generation())
+        return self._read_leaves([n for level, n in saved if level == self.leaf_bits], saved)

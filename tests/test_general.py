@@ -1,6 +1,7 @@
 """Changes between runs, orphan references, snapshot changes: nulls, ties, repeats, late rows, empty tables, clashing names."""
 
 import random
+import pytest
 from datetime import datetime, timedelta
 
 from conftest import rows
@@ -86,8 +87,7 @@ def test_changes_of_nothing(spark):
 
 
 def test_merkle_store_survives_failures(spark, tmp_path):
-    store = MerkleStore(spark, str(tmp_path / "s"), leaf_bits=6)
-    (tmp_path / "s").mkdir()
+    store = MerkleStore(spark, str(tmp_path / "s"), leaf_bits=8)
     a = spark.createDataFrame([(i, f"x{i}") for i in range(200)] + [(None, "n")], "k bigint, v string")
     store.run(a, "k", ["v"])
     assert store.output().count() == 200 and store.output().filter("change <> 'added'").count() == 0
@@ -106,6 +106,78 @@ def test_merkle_store_survives_failures(spark, tmp_path):
     assert rows(store.output(), "key", "change") == sorted([("0", "removed"), ("50", "changed"), ("100", "changed"), ("150", "changed"), ("200", "added")], key=lambda t: (False, t[0], False, t[1]))
     store.run(b, "k", ["v"])
     assert store.output().count() == 0  # nothing is repeated
+    assert not [p for p in (tmp_path / "s").glob("g-*") if p.name not in store.commits()]
+
+
+def test_store_reads_and_deaths(spark, tmp_path, monkeypatch):
+    """Rows that arrive between the readings of a run, and a death at each of its steps: nothing is lost, nothing repeated."""
+    src, seen = tmp_path / "src", {}
+    src.mkdir()
+
+    def put(n, rows_):
+        import pandas as pd
+
+        pd.DataFrame(rows_, columns=["k", "v"]).to_parquet(src / f"{n:03d}.parquet")
+
+    def source():
+        # lists its files anew with every reading, as a live table does
+        return spark.read.schema("k bigint, v string").parquet(str(src))
+
+    class Live(MerkleStore):
+        arrivals = 0
+
+        def _changes(self, keyed, leaves, saved):
+            Live.arrivals += 1
+            put(100 + Live.arrivals, [(1000 + Live.arrivals, "late"), (1000 + Live.arrivals, "late")])
+            return super()._changes(self._keyed(source(), "k", ["v"]), leaves, saved)
+
+    store = Live(spark, str(tmp_path / "s"))
+    put(0, [(i, f"a{i}") for i in range(60)] + [(7, "z"), (7, "b")])
+    published = []
+
+    def attempt(fail=None):
+        if fail:
+            with monkeypatch.context() as m:
+                m.setattr(MerkleStore, fail, lambda *a, **k: (_ for _ in ()).throw(RuntimeError(fail)))
+                with pytest.raises(RuntimeError):
+                    store.run(source(), "k", ["v"])
+            return
+        store.run(source(), "k", ["v"])
+        for r in store.output().collect():
+            published.append((r["key"], r["change"]))
+            seen[r["key"]] = None if r["change"] == "removed" else r["v"]
+
+    attempt()
+    for n, step in enumerate(["_save_tree", "_publish", "_levels"]):
+        put(n + 1, [(200 + n, "new")])
+        attempt(step)
+        attempt()
+    monkeypatch.setattr(Live, "_changes", MerkleStore._changes)
+    attempt()
+    attempt()
+    rows_of = {}
+    for r in source().collect():
+        rows_of.setdefault(str(r["k"]), set()).add(r["v"])
+    assert set(seen) == set(rows_of) and all(seen[k] in v for k, v in rows_of.items())
+    assert len(published) == len(set(published)) == len(rows_of)  # each key was added once
+    tree = {r["key"]: r["digest"] for r in store.tree().collect()}
+    import hashlib
+    import json
+
+    assert tree == {k: hashlib.sha256(json.dumps({"v": v}, separators=(",", ":")).encode()).hexdigest() for k, v in seen.items()}
+
+
+def test_store_reads_only_open_ranges(spark, tmp_path, monkeypatch):
+    store = MerkleStore(spark, str(tmp_path / "s"))
+    df = spark.createDataFrame([(i, "x") for i in range(2000)], "k bigint, v string")
+    store.run(df, "k", ["v"])
+    asked = []
+    real = MerkleStore._read_leaves
+    monkeypatch.setattr(MerkleStore, "_read_leaves", lambda self, leaves, saved: (asked.append(len(leaves)), real(self, leaves, saved))[1])
+    store.run(df.withColumn("v", F.when(F.col("k") == 5, "y").otherwise(F.col("v"))), "k", ["v"])
+    assert set(asked) == {1} and rows(store.output(), "key", "change", "v") == [("5", "changed", "y")]
+    store.run(df.filter("k < 0"), "k", ["v"])
+    assert store.output().filter("change = 'removed'").count() == 2000 and store.tree().count() == 0
 
 
 CALLS = "call_id bigint, callee_id bigint, repo string, loaded_at timestamp, code bigint"
