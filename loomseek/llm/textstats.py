@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 COMMON_CHARS = 4
 COMMON_SHARE = 0.01
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Masks of the first bytes of a little-endian word.
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype="<u8")
 #: Bytes of text that one vectorised step handles.
 STEP_BYTES = 4 << 20
 
@@ -41,14 +43,11 @@ _IS["symbol"][[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not
 _IS["bullet"][[ord(c) for c in "-*+|#=~_<>{}[]$@%&/\\^`"]] = True
 
 
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
 # script of a word by the lead byte of its first letter: Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic and Syriac, Indic and
 # Thai, other scripts of three bytes, Hangul, others
 _SCRIPT = np.zeros(256, dtype=np.int64)
 for _n, (_low, _high) in enumerate([(0xCD, 0xCF), (0xD0, 0xD3), (0xD4, 0xD7), (0xD8, 0xDF), (0xE0, 0xE0), (0xE1, 0xE2), (0xEA, 0xEF), (0xF0, 0xFF)], 1):
     _SCRIPT[_low : _high + 1] = _n
-_POSITIVE = np.int64(0x7FFFFFFFFFFFFFFF)
 #: Characters of scripts without spaces are words of their own, of this script.
 WIDE = 9
 
@@ -124,26 +123,24 @@ class _Words:
         wide_before[self.wide_at + 1] = 1
         self.wide_before = np.cumsum(wide_before)
         self.has_wide = self.wide_before[e] > self.wide_before[s]
-        # hashes of the short ones
         self.short = np.flatnonzero(self.alpha & (self.chars <= COMMON_CHARS) & ~self.has_wide)
-        if n:
-            power = np.full(n + 1, BASE, dtype=np.uint64)
-            power[0] = 1
-            np.multiply.accumulate(power, out=power)
-            pre = np.concatenate([np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-            inverse = np.full(n + 1, _INVERSE, dtype=np.uint64)
-            inverse[0] = 1
-            np.multiply.accumulate(inverse, out=inverse)
-            whole = (pre[e] - pre[s]) * inverse[s]
-            self.script = _SCRIPT[data[s[self.short]]]
-        else:
-            self.script, whole = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        # the first and the last eight bytes of a core, packed: exact for words of up to sixteen bytes
+        padded = np.concatenate([np.zeros(8, np.uint8), low, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded, shape=(n + 9, 8), strides=(1, 1))
+        length = np.minimum(e - s, 8)
+        first = eight[s + 8].view(np.uint64)[:, 0] & _MASKS[length]
+        last = eight[e].view(np.uint64)[:, 0] & ~_MASKS[8 - length]
+        whole = first * _MIX ^ (last * _MIX2 + (e - s).astype(np.uint64))
+        whole ^= whole >> np.uint64(29)
+        whole *= _MIX
         # a word that says the one before it again
         self.echo = np.zeros(len(s), dtype=bool)
         self.echo[1:] = self.alpha[1:] & (whole[1:] == whole[:-1])
-        self.echo[np.searchsorted(self.start, offsets[:-1][offsets[:-1] < (self.start[-1] + 1 if len(s) else 0)])] = False
-        mixed = whole[self.short]
-        self.hashes = ((mixed ^ (mixed >> np.uint64(31))).view(np.int64) & _POSITIVE & ~np.int64(15)) | self.script
+        if len(s):
+            heads = np.searchsorted(self.start, offsets[:-1])
+            self.echo[heads[heads < len(s)]] = False
+        self.script = _SCRIPT[data[s[self.short]]]
+        self.hashes = ((whole[self.short] >> np.uint64(2)).view(np.int64) & ~np.int64(15)) | self.script
 
 
 def _common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +151,10 @@ def _common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             doc = np.concatenate([np.searchsorted(offsets, w.s[w.short], side="right") - 1, np.searchsorted(offsets, w.wide_at, side="right") - 1])
             word = np.concatenate([w.hashes, (w.wide_code << 4) | WIDE])
             script = word & 15
-            pair = np.unique(np.stack([np.concatenate([doc, doc]), np.concatenate([word, -1 - script])]), axis=1)[1] if len(doc) else np.zeros(0, np.int64)
-            words, n = np.unique(pair, return_counts=True)
+            doc, word = np.concatenate([doc, doc]), np.concatenate([word, -1 - script])
+            # each word once a document
+            _, at = np.unique(word.view(np.uint64) * _MIX2 + doc.astype(np.uint64) * _MIX, return_index=True)
+            words, n = np.unique(word[at], return_counts=True)
             yield pa.record_batch([pa.array(words), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
@@ -187,8 +186,13 @@ STATS = (
 
 def _sums(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``mask`` between consecutive bounds."""
-    c = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    return c[bounds[1:]] - c[bounds[:-1]]
+    low, high = bounds[:-1], bounds[1:]
+    if not len(mask) or not len(low):
+        return np.zeros(len(low), dtype=np.int64)
+    filled = np.flatnonzero(high > low)
+    out = np.zeros(len(low), dtype=np.int64)
+    out[filled] = np.add.reduceat(mask.view(np.uint8) if mask.dtype == bool else mask, low[filled], dtype=np.int32)
+    return out
 
 
 def _stamps(data: np.ndarray, w: _Words) -> np.ndarray:
