@@ -363,14 +363,14 @@ HAND = "import { a } from './a.js';\n// The minified build of this module is pub
 
 
 def test_origins(spark):
-    minified = "function o1(e,t){var n=e.weight;return n?t(n):void 0}var m1=function(e){return e&&e.depth};for(var i=0;i<4;i++)exports[i]=i*68;" * 6
+    minified = "".join(f"function {x}{y}(e,t){{var n=e.weight;return n?t(n):void 0}}var {y}{x}=function(e){{return e&&e.depth}};" for x in "qxzjkv" for y in "wyfgbn")
     numbered = "".join(f"function {v}{n}{i}(input) {{\n  return input.{n};\n}}\n" for i, (v, n) in enumerate([("restore", "Sensor"), ("seal", "Journal"), ("merge", "Cobalt"), ("expand", "Ember")]))
     slots = "".join(f"exports.getField_Token_{i} = function (msg, arg) {{ return msg.$slot({i}, 0, arg); }};\n" for i in range(40))
     bundle = "(function (modules) {\n  return __req__(0);\n})({\n/***/ 0:\n/***/ (function (module, exports, __req__) {\nfunction resolveToken(state) { return state; }\n/***/ })\n});\n"
     data = "module.exports = [\n" + "".join(f'  {{"code": "VEC-{i}", "lat": {i}.5}},\n' for i in range(50)) + "];\n"
     base64 = "export const FONT =\n  'Xmulyi5miol//c8JVcjK8EAJuivVVFwTyGYgTW5xvGnAIAvcyWU1BvGScE2U8Y0OJzRM5usvZMdFI" + "Qz9k" * 100 + "';\n"
     files = {
-        "src/vendors/a.js": (HAND, "hand-written"), "src/b.js": (minified, "minified"), "src/c.js": (numbered, "generated"), "src/d.js": (slots, "generated"), "src/e.js": (bundle, "bundled"),
+        "src/vendors/a.js": (HAND, "hand-written"), "src/b.js": (minified, "minified"), "src/c.js": ("// @generated\n" + numbered, "generated"), "src/numbered.js": (numbered, "hand-written"), "src/m.js": ("/*!\n * tinylib 6.5.16\r\n * Copyright (c) 2015 the authors\n */\n" + numbered, "vendored"), "src/d.js": (slots, "generated"), "src/e.js": (bundle, "bundled"),
         "src/f.js": (data, "data"), "src/g.js": (base64, "data"), "node_modules/x/h.js": (numbered, "vendored"), "src/i.js": ("/*!\n * Copied from x@1.2.3 (A Ltd), upstream license: MIT\n */\n" + HAND, "vendored"),
         "src/j.py": ("# @generated\ndef f(x):\n    return x\n", "generated"), "src/k.js": ("", "hand-written"), "src/l.js": ("const help = '" + "use the queue only when " * 60 + "';\nfunction showHelp() { return help; }\n", "hand-written"),
     }
@@ -383,6 +383,19 @@ def test_origins(spark):
     assert origin.file_origins(df.limit(0)).count() == 0
 
 
+def test_names_alone_decide(spark):
+    """Files without any mark, against the names of a corpus: random names, accessors of few stems, a library of another style."""
+    rnd = random.Random(3)
+    chunks = spark.read.parquet(DATA.replace("0.001", "0.01") + "/chunks.parquet").select("repo", "file_path", "text", "start_line", "chunk_id")
+    three = "\n".join("function " + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) + "(a, b) {\n  return a + b;\n}" for _ in range(40))
+    accessors = "\n".join(f"function {v}{s}(node) {{\n  return node.{s.lower()};\n}}" for s in ("Owner", "Token", "Window", "Ledger") for v in ("get", "set", "has", "clear", "reset"))
+    w = "manifest shard voucher lantern cursor tariff bundle harbor socket spindle ember quill prism gasket orbit".split()
+    snake = "\n".join(f"function restore_{w[i]}_{w[(i * 7 + 3) % 15]}(self) {{\n  return self;\n}}" for i in range(14))
+    planted = [("quiet-heron-0", f"src/planted/{n}.js", t, 1, n) for n, t in (("three", three), ("accessors", accessors), ("snake", snake))]
+    got = origin.file_origins(chunks.unionByName(spark.createDataFrame(planted, chunks.schema))).filter("file_path like 'src/planted/%'")
+    assert rows(got, "file_path", "origin", "evidence") == [("src/planted/accessors.js", "generated", "names"), ("src/planted/snake.js", "vendored", "names"), ("src/planted/three.js", "minified", "names")]
+
+
 def test_foreign_style_is_vendored(spark):
     copy = "".join(f"function {v}_{n}(input_value) {{\n  return input_value.{n};\n}}\n" for v, n in [("restore", "sensor"), ("seal", "journal"), ("merge", "cobalt"), ("expand", "ember")])
     words = [a + b for a in ("Harbor", "Packet", "Vertex", "Meadow", "Socket", "Bundle") for b in ("Owner", "Store", "Reader", "Writer", "Index", "Lease", "Queue", "Graph")]
