@@ -390,7 +390,8 @@ def test_names_alone_decide(spark):
     three = "\n".join("function " + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) + "(a, b) {\n  return a + b;\n}" for _ in range(40))
     accessors = "\n".join(f"function {v}{s}(node) {{\n  return node.{s.lower()};\n}}" for s in ("Owner", "Token", "Window", "Ledger") for v in ("get", "set", "has", "clear", "reset"))
     w = "manifest shard voucher lantern cursor tariff bundle harbor socket spindle ember quill prism gasket orbit".split()
-    snake = "\n".join(f"function restore_{w[i]}_{w[(i * 7 + 3) % 15]}(self) {{\n  return self;\n}}" for i in range(14))
+    verbs = "restore seal merge expand verify drain route stage probe attach shrink rotate tally decode".split()
+    snake = "\n".join(f"function {verbs[i]}_{w[i]}(self) {{\n  return self;\n}}" for i in range(14))
     planted = [("quiet-heron-0", f"src/planted/{n}.js", t, 1, n) for n, t in (("three", three), ("accessors", accessors), ("snake", snake))]
     got = origin.file_origins(chunks.unionByName(spark.createDataFrame(planted, chunks.schema))).filter("file_path like 'src/planted/%'")
     assert rows(got, "file_path", "origin", "evidence") == [("src/planted/accessors.js", "generated", "names"), ("src/planted/snake.js", "vendored", "names"), ("src/planted/three.js", "minified", "names")]
