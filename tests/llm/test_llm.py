@@ -398,7 +398,7 @@ def test_names_alone_decide(spark):
 
 
 def test_foreign_style_is_vendored(spark):
-    copy = "".join(f"function {v}_{n}(input_value) {{\n  return input_value.{n};\n}}\n" for v, n in [("restore", "sensor"), ("seal", "journal"), ("merge", "cobalt"), ("expand", "ember")])
+    copy = "".join(f"function {v}_{n}(input_value) {{\n  return input_value.{n};\n}}\n" for v, n in [("restore", "sensor"), ("seal", "journal"), ("merge", "cobalt"), ("expand", "ember"), ("drain", "lease"), ("route", "quill"), ("stage", "prism"), ("probe", "gasket")])
     words = [a + b for a in ("Harbor", "Packet", "Vertex", "Meadow", "Socket", "Bundle") for b in ("Owner", "Store", "Reader", "Writer", "Index", "Lease", "Queue", "Graph")]
     files = {f"src/own{i}.js": HAND.replace("Lantern", w) for i, w in enumerate(words)} | {"src/copy.js": copy, "src/tied.js": "import { a } from './own0.js';\n" + copy}
     # in a repository of that very style it is no copy
