@@ -32,10 +32,11 @@ from loomseek.session import staged
 LANGUAGES = {"js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "py": "python"}
 
 ALPHABET = "^$0_abcdefghijklmnopqrstuvwxyz?"
-#: A file is mangled if its names cost so many robust deviations, and so many bits a character, more than is usual for the language's
-#: files and than a natural name that the model has not seen costs, and in all so many bits: one odd name is none.
+#: A file is mangled if its names cost so many robust deviations more than is usual for the language's files and than a natural name
+#: that the model has not seen costs, nearly as many bits a character as random letters do (this share of the logarithm of the
+#: alphabet's size), and in all so many bits more than usual: one odd name is none.
 MANGLED_DEVIATIONS = 8.0
-MANGLED_BITS = 1.25
+MANGLED_RANDOM = 0.9
 MANGLED_EVIDENCE = 100.0
 #: Files that cost so many deviations more than usual do not train the models.
 UNUSUAL = 4.0
@@ -156,8 +157,13 @@ def file_features(chunks: DataFrame) -> DataFrame:
     return files.select("repo", "file_path", "language", "defined", "names", *[total(c) for c in _COUNTS])
 
 
+_SEAM = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
 def _letters(name: str) -> str:
-    return "^^" + re.sub(r"\d+", "0", "".join(c if c in ALPHABET else "?" for c in name.lower())) + "$"
+    """The name as the models see it: the parts of every style joined alike, digits as one."""
+    name = re.sub(r"\d+", "0", _SEAM.sub("_", name).lower())
+    return "^^" + "".join(c if c in ALPHABET else "?" for c in name) + "$"
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +322,8 @@ def file_origins(chunks: DataFrame) -> DataFrame:
     f = file_scores(chunks)
     # more than is usual, and more than a natural name costs that the model has not seen
     excess = F.coalesce(F.col("bits_per_char") - F.greatest("usual", "new_name"), F.lit(0.0))
-    mangled = (excess >= F.greatest(F.lit(MANGLED_BITS), MANGLED_DEVIATIONS * F.col("deviation"))) & (excess * F.col("chars") >= MANGLED_EVIDENCE)
+    random_letters = F.col("bits_per_char") >= MANGLED_RANDOM * math.log2(len(ALPHABET))
+    mangled = random_letters & (excess >= MANGLED_DEVIATIONS * F.col("deviation")) & (excess * F.col("chars") >= MANGLED_EVIDENCE)
     template = (F.col("parts") >= TEMPLATE_PARTS) & (F.col("entropy") < TEMPLATE)
     # a style alone may be that of one author: the file must have no tie to the repository
     foreign_style = (F.col("foreign_bits") >= FOREIGN_BITS) & (F.col("foreign_bits") * F.col("styled") >= FOREIGN_EVIDENCE) & (F.col("imports") == 0)
