@@ -6,8 +6,9 @@ characters shares a fingerprint. Fingerprints of corpus and evaluation items are
 hits are extended to an in-order alignment of words that measures how much of the item a document
 holds.
 
-Corpus fingerprints are tested against a bitmap of the items' fingerprints before they leave the
-scan. The bitmap has BITS bits whatever the number of items; the join after it is exact.
+Corpus fingerprints are tested against a Bloom filter of the items' fingerprints before they leave the scan. Its size follows
+the number of fingerprints, up to a bound beyond which it lets more through; the join after it is exact. Items too short
+for a fingerprint are looked for whole, by the hash of all their letters and digits.
 """
 
 from __future__ import annotations
@@ -30,12 +31,16 @@ from loomseek.session import staged
 
 K = 16
 WINDOW = 8
-BITS = 1 << 26
+#: Bits of the filter for each fingerprint, probes of each, and the bound of the whole: 128 MB.
+BITS_PER_PRINT = 32
+PROBES = 3
+MOST_BITS = 1 << 30
 RANGE = 32768
 STEP_BYTES = 2 << 20
-#: Share of an item's fingerprints that a document must hit to be aligned, and at least so many.
+#: Share of an item's fingerprints that a document must hit to be aligned; one hit is enough for items of few.
 HIT_SHARE = 0.08
-LEAST_HITS = 2
+#: Pairs of equal word runs from which on an alignment is computed by rows, in memory of the item's length.
+MANY_PAIRS = 500_000
 #: Share of an item's words that must align.
 HELD = 0.5
 
@@ -95,80 +100,123 @@ def winnow(data: np.ndarray, offsets: np.ndarray, k: int = K, window: int = WIND
     return text[at], at - offsets[text[at]], h[at]
 
 
-def _fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    norm = normalised(texts)
+def _bytes_of(norm: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = np.frombuffer(norm.buffers()[1], dtype=np.int64)[norm.offset : norm.offset + len(norm) + 1]
     if norm.buffers()[2] is None or ends[-1] == ends[0]:
-        return winnow(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    data, offsets = np.frombuffer(norm.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
-    # a very long text is taken in segments that overlap by what one window sees
-    parts, at = [], 0
+        return np.zeros(0, np.uint8), np.zeros(len(norm) + 1, np.int64)
+    return np.frombuffer(norm.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _segments(data: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``winnow`` of texts of any length: a very long one is taken in segments that overlap by what one window sees."""
+    parts, at = [winnow(np.zeros(0, np.uint8), np.zeros(1, np.int64))], 0
     while at < len(data):
-        segment = data[at : at + STEP_BYTES + K + WINDOW]
-        text, pos, h = winnow(segment, np.clip(offsets - at, 0, len(segment)))
-        parts.append((text, pos, h))
+        segment = data[at : at + STEP_BYTES + k + window]
+        parts.append(winnow(segment, np.clip(offsets - at, 0, len(segment)), k, window))
         at += STEP_BYTES
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
+def _fingerprints(texts: pa.Array, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, position and hash of the fingerprints; of all runs of the lengths ``short`` too."""
+    data, offsets = _bytes_of(normalised(texts))
+    parts = [_segments(data, offsets, K, WINDOW)] + [_segments(data, offsets, k, 1) for k in short]
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
 def _item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if b.num_rows:
-            t, _, h = _fingerprints(b.column(1))
-            yield pa.record_batch([b.column(0).take(pa.array(t)), pa.array(h.view(np.int64)), pa.array((h % np.uint64(BITS)).astype(np.int64))], names=["item_id", "h", "bit"])
+        if not b.num_rows:
+            continue
+        data, offsets = _bytes_of(normalised(b.column(1)))
+        t, _, h = _segments(data, offsets, K, WINDOW)
+        lengths, whole = np.diff(offsets), np.zeros(len(t), np.int64)
+        for k in np.unique(lengths[(lengths > 0) & (lengths < K)]):
+            st, _, sh = _segments(data, offsets, int(k), 1)
+            mine = lengths[st] == k
+            t, h, whole = np.concatenate([t, st[mine]]), np.concatenate([h, sh[mine]]), np.concatenate([whole, np.full(int(mine.sum()), k)])
+        yield pa.record_batch([b.column(0).take(pa.array(t)), pa.array(h.view(np.int64)), pa.array(whole)], names=["item_id", "h", "whole"])
 
 
 def item_fingerprints(items: DataFrame) -> DataFrame:
-    """``item_id, h, bit`` of the evaluation items, distinct."""
+    """``item_id, h, whole`` of the evaluation items, distinct; ``whole`` is the length of an item that is one fingerprint, else 0."""
     rows = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    return rows.mapInArrow(_item_batches, "item_id bigint, h bigint, bit bigint").distinct()
+    return rows.mapInArrow(_item_batches, "item_id bigint, h bigint, whole bigint").distinct()
+
+
+def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for i in range(PROBES):
+        x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
+        yield ((x >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _bit_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h = b.column(0).to_numpy().view(np.uint64)
+        yield pa.record_batch([pa.array(np.unique(np.concatenate(list(_probes(h, bits)))))], names=["bit"])
 
 
-def bitmap(prints: DataFrame) -> bytes:
-    """The bits of the fingerprints, compressed: at most ``BITS / 8`` bytes."""
+def bloom(hashes: DataFrame, n: int) -> tuple[int, bytes]:
+    """The filter's number of bits and the bits, compressed, of ``n`` fingerprints: at most MOST_BITS."""
     import zlib
 
-    parts = prints.groupBy(F.floor(F.col("bit") / RANGE).alias("r")).agg(F.bitmap_construct_agg((F.col("bit") % RANGE).cast("bigint")).alias("bits"))
-    out = bytearray(BITS // 8)
+    bits = min(MOST_BITS, 1 << max(15, (n * BITS_PER_PRINT - 1).bit_length()))
+    at = hashes.mapInArrow(partial(_bit_batches, bits=bits), "bit bigint")
+    parts = at.groupBy(F.floor(F.col("bit") / RANGE).alias("r")).agg(F.bitmap_construct_agg(F.col("bit") % RANGE).alias("bits"))
+    out = bytearray(bits // 8)
     for r in parts.toLocalIterator():
         out[r["r"] * RANGE // 8 : (r["r"] + 1) * RANGE // 8] = r["bits"]
-    return zlib.compress(bytes(out), 1)
+    return bits, zlib.compress(bytes(out), 1)
 
 
-_BITMAPS: dict[int, np.ndarray] = {}
+_FILTERS: dict[bytes, np.ndarray] = {}
 
 
-def _corpus_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _in_filter(h: np.ndarray, filter_: tuple[int, bytes]) -> np.ndarray:
     import zlib
 
-    if shared.value not in _BITMAPS:
-        _BITMAPS.clear()
-        _BITMAPS[shared.value] = np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8)
-    bits = _BITMAPS[shared.value]
+    bits, packed = filter_
+    if packed not in _FILTERS:
+        if len(_FILTERS) >= 2:
+            _FILTERS.clear()
+        _FILTERS[packed] = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    table, hit = _FILTERS[packed], np.ones(len(h), dtype=bool)
+    for bit in _probes(h, bits):
+        hit &= (table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def _corpus_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    every, single, short = shared.value
     for b in batches:
         ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)), 0
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, side="right")))
             part = b.slice(at, to - at)
             at = to
-            t, _, h = _fingerprints(part.column(1))
-            bit = (h % np.uint64(BITS)).astype(np.int64)
-            hit = (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+            t, _, h = _fingerprints(part.column(1), short)
+            hit = _in_filter(h, every)
             t, h = t[hit], h[hit]
             order = np.argsort(t, kind="stable")
             t, h = t[order], h[order]
             if not len(t):
                 continue
             rows, first, n = np.unique(t, return_index=True, return_counts=True)
-            many = n >= LEAST_HITS
-            lists = [np.unique(h[f : f + c]).view(np.int64) for f, c in zip(first[many], n[many])]
-            take = pa.array(rows[many])
+            # one hit is enough if it may be that of an item of few fingerprints
+            enough = (n >= 2) | (np.add.reduceat(_in_filter(h, single).astype(np.int64), first) > 0)
+            lists = [np.unique(h[f : f + c]).view(np.int64) for f, c in zip(first[enough], n[enough])]
+            take = pa.array(rows[enough])
             yield pa.record_batch([part.column(0).take(take), part.column(1).take(take).cast(pa.string()), pa.array(lists, type=pa.list_(pa.int64()))], names=["doc_id", "text", "hs"])
 
 
 def corpus_hits(documents: DataFrame, prints: DataFrame) -> DataFrame:
-    """``doc_id, text, hs``: documents with at least LEAST_HITS fingerprints in the bitmap."""
-    shared = documents.sparkSession.sparkContext.broadcast(bitmap(prints))
+    """``doc_id, text, hs``: documents with at least two fingerprints in the filter, or one of an item for which one is enough.
+
+    ``prints`` has ``h, whole, needed``.
+    """
+    n = prints.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("needed") <= 1).alias("single"), F.collect_set("whole").alias("whole")).first()
+    filters = bloom(prints.select("h"), n["all"]), bloom(prints.filter(F.col("needed") <= 1).select("h"), n["single"])
+    shared = documents.sparkSession.sparkContext.broadcast((*filters, tuple(sorted(k for k in n["whole"] if k))))
     rows = documents.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_corpus_batches, shared=shared), "doc_id bigint, text string, hs array<bigint>")
 
@@ -189,35 +237,51 @@ def words(text: str) -> list[str]:
 def held_share(item: list[str], doc: list[str], run: int = 3) -> float:
     """The share of the item's characters that the document holds in order.
 
-    Shared runs of ``run`` words are chained so that both positions rise, at each item position the
-    longest chain by distinct item words covered; chains may not spread over more than four times the
-    item's length.
+    Shared runs of ``run`` words (of all words of a shorter item) are chained over the whole document so that both positions rise:
+    at each item position the longest chain by distinct item words covered.
     """
-    total = sum(map(len, item))
-    if not total or len(item) < run:
+    total, run = sum(map(len, item)), min(run, len(item))
+    if not total:
         return 0.0
     where: dict[tuple[str, ...], list[int]] = {}
     for i in range(len(item) - run + 1):
         where.setdefault(tuple(item[i : i + run]), []).append(i)
-    pairs = [(d, i) for d in range(len(doc) - run + 1) for i in where.get(tuple(doc[d : d + run]), ())]
-    if not pairs:
+    at = [where.get(tuple(doc[d : d + run]), ()) for d in range(len(doc) - run + 1)]
+    n_pairs = sum(map(len, at))
+    if not n_pairs:
         return 0.0
-    best, span = 0.0, 4 * len(item) + 40
     size = [0]
     for w in item:
         size.append(size[-1] + len(w))
-    # split at gaps that no copy of the item bridges
-    pairs.sort()
-    groups, current = [], [pairs[0]]
-    for p in pairs[1:]:
-        if p[0] - current[-1][0] > span:
-            groups.append(current)
-            current = []
-        current.append(p)
-    groups.append(current)
-    for g in groups:
-        best = max(best, _chain(g, size, run))
-    return best / total
+    if n_pairs > MANY_PAIRS:
+        return _chain_by_rows(at, size, run) / total
+    return _chain([(d, i) for d, positions in enumerate(at) for i in positions], size, run) / total
+
+
+def _chain_by_rows(at: list, size: list[int], run: int) -> int:
+    """What ``_chain`` computes, one document position after the other, with arrays over the item's positions."""
+    size_ = np.array(size, dtype=np.int64)
+    n, none = len(size) - 1, np.int64(-(1 << 40))
+    whole, step = size_[run:] - size_[: n - run + 1], size_[run:] - size_[run - 1 : n]
+    front = np.zeros(n + 1, dtype=np.int64)  # best gain of chains that end at or before each item position
+    before = np.full(n - run + 1, none)
+    pending: list[np.ndarray] = []
+    best = np.int64(0)
+    for positions in at:
+        now = np.full(n - run + 1, none)
+        if positions:
+            p = np.array(positions)
+            now[p] = front[p] + whole[p]
+            on = p[p > 0]
+            now[on] = np.maximum(now[on], before[on - 1] + step[on])
+            best = max(best, now.max())
+        pending.append(now)
+        if len(pending) == run:
+            ready = pending.pop(0)
+            if ready.max() > 0:
+                front[run:] = np.maximum(front[run:], np.maximum.accumulate(ready))
+        before = now
+    return int(best)
 
 
 def _chain(pairs: list[tuple[int, int]], size: list[int], run: int) -> int:
@@ -269,19 +333,21 @@ def leaks(documents: DataFrame, items: DataFrame, held: float = HELD) -> DataFra
     """``doc_id, item_id, held``: documents that hold at least ``held`` of an item's text in its order.
 
     Case, punctuation, layout and tags do not count. Equal texts are aligned once. Null texts hold nothing
-    and leak nowhere; an item without three words leaks nowhere; repeated rows count once.
+    and leak nowhere, nor do items without letters or digits; repeated rows count once. An item too short for a fingerprint (below K
+    bytes of letters and digits) leaks where it stands as a whole.
     """
     prints = staged(item_fingerprints(items))
-    hits = staged(corpus_hits(documents, prints).withColumn("text_key", F.sha2(F.col("text"), 256)))
+    of_item = prints.groupBy("item_id").agg(F.ceil(HIT_SHARE * F.countDistinct("h")).alias("needed"))
+    needed = staged(prints.join(of_item, "item_id").groupBy("h").agg(F.max("whole").alias("whole"), F.min("needed").alias("needed")))
+    hits = staged(corpus_hits(documents, needed).withColumn("text_key", F.sha2(F.col("text"), 256)))
     texts = hits.groupBy("text_key").agg(F.first("text").alias("text"), F.first("hs").alias("hs"))
-    of_item = prints.groupBy("item_id").agg(F.countDistinct("h").alias("n_prints"))
     counted = (
         texts.select("text_key", F.explode("hs").alias("h"))
         .join(prints.select("item_id", "h").distinct(), "h")
         .groupBy("text_key", "item_id")
         .agg(F.count(F.lit(1)).alias("n_hits"))
         .join(of_item, "item_id")
-        .filter((F.col("n_hits") >= LEAST_HITS) & (F.col("n_hits") >= HIT_SHARE * F.col("n_prints")))
+        .filter(F.col("n_hits") >= F.col("needed"))
         .select("text_key", "item_id")
     )
     item_text = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("item_text")).distinct()

@@ -166,6 +166,28 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), items).count() == 0 and leakage.leaks(d, items.limit(0)).count() == 0
 
 
+def test_short_items_and_far_halves_leak(spark):
+    """Items of one fingerprint or none, and an item whose halves stand far from each other."""
+    half = ITEM.split()
+    far = " ".join(half[: len(half) // 3]) + " filler of no import" * 3000 + " " + " ".join(half[len(half) * 2 // 3 :])
+    docs = [(1, "Well: the moon pays rent twice, they say."), (2, "the rent pays moon twice"), (3, "x tiny mark y"), (4, "nothing"), (5, far), (6, "tinymarket"), (7, "1, 2, go!")]
+    items = [(1, "The moon pays rent twice"), (2, "Tiny mark"), (3, ITEM), (4, "..."), (5, "1 2 go")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert rows(leakage.leaks(d, i), "doc_id", "item_id") == [(1, 1), (3, 2), (5, 3), (7, 5)]
+
+
+def test_alignment_by_rows(monkeypatch):
+    rnd = random.Random(14)
+    for _ in range(300):
+        item = [rnd.choice("ab") * rnd.randrange(1, 3) for _ in range(rnd.randrange(1, 15))]
+        doc = [rnd.choice("ab") * rnd.randrange(1, 3) for _ in range(40)]
+        want = leakage.held_share(item, doc)
+        with monkeypatch.context() as m:
+            m.setattr(leakage, "MANY_PAIRS", 0)
+            assert abs(leakage.held_share(item, doc) - want) < 1e-9, (item, doc)
+    assert leakage.held_share(["a"] * 300, ["a"] * 20000) == 1.0
+
+
 def test_held_share_matches_a_plain_alignment():
     rnd = random.Random(9)
 
@@ -189,7 +211,7 @@ def test_held_share_matches_a_plain_alignment():
         item = [rnd.choice("abcde") * rnd.randrange(1, 3) for _ in range(14)]
         doc = [w for w in item if rnd.random() < 0.85] + [rnd.choice("abcde") for _ in range(6)]
         assert abs(leakage.held_share(item, doc) - plain(item, doc)) < 1e-9
-    assert leakage.held_share([], ["a"]) == 0.0 and leakage.held_share(["a"], []) == 0.0
+    assert leakage.held_share([], ["a"]) == 0.0 and leakage.held_share(["a"], []) == 0.0 and leakage.held_share(["a", "b"], ["x", "a", "b"]) == 1.0
 
 
 # --- text types
