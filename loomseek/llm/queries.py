@@ -48,6 +48,26 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
 
 
+def p5_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per oversized chunk what must hold of its pieces: bytes covered, lines, and that limits and seams are kept."""
+    limits = table(spark, sf_dir, "chunk_limits").select("kind", "max_bytes").distinct()
+    chunks = table(spark, sf_dir, "chunks")
+    places = chunks.select("chunk_id", "kind", F.coalesce("start_line", F.lit(1)).alias("line0"), F.coalesce("start_byte", F.lit(0)).alias("byte0")).distinct().join(limits, "kind")
+    pieces = splitting.split_chunks(chunks, table(spark, sf_dir, "chunk_limits"))
+    piece = pieces.select("chunk_id", "piece", "start_line", "end_line", "start_byte", "end_byte", F.octet_length("text").alias("text_bytes"), (F.length("text") - F.length(F.translate("text", "\n", ""))).alias("line_ends"), F.col("text").endswith("\n").cast("int").alias("whole")).distinct()
+    in_order = Window.partitionBy("chunk_id").orderBy("piece")
+    p = piece.withColumn("before", F.lag("end_byte").over(in_order)).join(places, "chunk_id")
+    width = F.col("end_byte") - F.col("start_byte")
+    return p.groupBy("chunk_id").agg(
+        F.sum(F.col("end_byte") - F.coalesce("before", "byte0")).alias("n_bytes"),
+        (F.max("end_line") - F.min("line0")).cast("bigint").alias("last_line"),
+        F.every((width <= F.col("max_bytes")) & (width > 0) & (width == F.col("text_bytes"))).alias("within"),
+        F.every((F.col("start_byte") <= F.coalesce("before", "byte0")) & (F.col("end_byte") > F.coalesce("before", "byte0"))).alias("gapless"),
+        F.every(F.col("end_line") - F.col("start_line") == F.col("line_ends") - F.col("whole")).alias("lines_agree"),
+        (F.count(F.lit(1)) == F.max("piece") + 1).alias("numbered"),
+    )
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.parsed_files(table(spark, sf_dir, "symbols"), table(spark, sf_dir, "source_files"))
 
@@ -112,7 +132,7 @@ def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(F.col("id").alias("doc_id"), "n_bytes", "words", "digits", "symbols", "spaces")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_ranking, p4_quality, p7_found, p7_rates, p5_found, p5_pieces, p8_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_types, p10_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_ranking, p4_quality, p7_found, p7_rates, p5_found, p5_pieces, p5_cover, p8_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_types, p10_counts)}
 
 _FUSED = """
 WITH s AS (SELECT query_id, signal, chunk_id, max(score) AS score FROM ranked WHERE score IS NOT NULL AND lower(CAST(score AS VARCHAR)) NOT LIKE '%nan%' GROUP BY ALL),
@@ -141,6 +161,9 @@ i AS (SELECT query_id, sum(grade / log2(n + 1)) AS ideal FROM (SELECT *, row_num
 g AS (SELECT ranking, query_id, sum(grade / log2(rank + 1)) AS gain FROM runs JOIN j USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY ALL)
 SELECT k.ranking, round(avg(coalesce(gain, 0) / ideal), 6) AS ndcg, count(*) AS queries FROM i CROSS JOIN (SELECT DISTINCT ranking FROM runs) k LEFT JOIN g ON g.query_id = i.query_id AND g.ranking = k.ranking GROUP BY ALL""",
     "p5_found": "SELECT DISTINCT chunk_id FROM chunks JOIN chunk_limits USING (kind) WHERE strlen(text) > max_bytes",
+    "p5_cover": r"""
+SELECT DISTINCT chunk_id, strlen(text) AS n_bytes, len(regexp_replace(regexp_replace(text, '\n$', ''), '[^\n]', '', 'g')) AS last_line, true AS within, true AS gapless, true AS lines_agree, true AS numbered
+FROM chunks JOIN chunk_limits USING (kind) WHERE strlen(text) > max_bytes""",
     "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
     "p10_counts": r"""
 SELECT DISTINCT doc_id, strlen(text) AS n_bytes, len(regexp_extract_all(text, '[^\t\n\v\f\r ]+')) AS words, len(regexp_extract_all(text, '[0-9]')) AS digits,

@@ -88,7 +88,7 @@ def test_pieces_cover_and_overlap(spark, range_bytes):
         "exact": "y" * 400,
     }
     chunks = [("r", "v", "f", k, t, "function", 10, 100, "clash", 3) for k, t in texts.items()]
-    chunks += chunks[:2] + [("r", "v", "f", "none", None, "function", 1, 0, "", 0), ("r", "v", "f", "other", "z" * 9999, "odd", 1, 0, "", 0), ("r", "v", "f", "nokind", "z" * 9999, None, None, None, "", 0)]
+    chunks += [("r", "v", "f", "none", None, "function", 1, 0, "", 0), ("r", "v", "f", "other", "z" * 9999, "odd", 1, 0, "", 0), ("r", "v", "f", "nokind", "z" * 9999, None, None, None, "", 0)]
     df = spark.createDataFrame(chunks, "repo string, version_id string, file_path string, chunk_id string, text string, kind string, start_line int, start_byte int, max_bytes string, piece int")
     limits = spark.createDataFrame([("function", 400, 2)], "kind string, max_bytes int, overlap_lines int")
     got = {}
@@ -105,12 +105,45 @@ def test_pieces_cover_and_overlap(spark, range_bytes):
             shared += data[s:end].count(b"\n")
             end = e
         assert end == len(data)
+        if k != "wide" and len(ps) > 1:
+            assert min(p["end_byte"] - p["start_byte"] for p in ps) >= 100
         if k in ("plain", "crlf"):
             assert shared >= 1.8 * (len(ps) - 1)
             assert all(p["text"].endswith("\n") for p in ps)
     assert splitting.split_chunks(df.limit(0), limits).count() == 0 and splitting.split_chunks(df, limits.limit(0)).count() == 0
 
 
+def test_pieces_of_files(spark, tmp_path):
+    """Files by ranges give the pieces that rows give, whatever the size of the ranges."""
+    rnd = random.Random(15)
+    big = "".join(f"line {i} {'é' * rnd.randrange(60)}\n" + ("\n" if i % 7 == 0 else "") for i in range(3000))
+    texts = {"big.txt": big, "one.txt": "a;" * 40000, "small.txt": "x\ny\n", "empty.txt": "", "b c.txt": "日本語" * 9000}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    seen = []
+    for range_bytes in (1, 60_000, 1 << 20):
+        files = splitting.list_files(spark, str(tmp_path))
+        got = splitting.split_files(files.unionByName(files), 300, 2, range_bytes)
+        seen.append(rows(got, "path", "piece", "offset", "end_offset", "line", "end_line", "piece_text"))
+    assert seen[0] == seen[1] == seen[2]
+    by_file = {}
+    for path, *rest in seen[0]:
+        by_file.setdefault(path.rsplit("/", 1)[1].replace("%20", " "), []).append(rest)
+    assert set(by_file) == set(texts) - {"empty.txt"} and len(by_file["small.txt"]) == 1
+    df = spark.createDataFrame([("r", "v", k, k, t, "any", 0, 0) for k, t in texts.items()], "repo string, version_id string, file_path string, chunk_id string, text string, kind string, start_line int, start_byte int")
+    limits = spark.createDataFrame([("any", 300, 2)], "kind string, max_bytes int, overlap_lines int")
+    in_rows = {}
+    for r in splitting.split_chunks(df, limits).collect():
+        in_rows.setdefault(r["chunk_id"], []).append([r["piece"], r["start_byte"], r["end_byte"], r["start_line"], r["end_line"], r["text"]])
+    assert {k: sorted(v) for k, v in in_rows.items()} == {k: sorted(v) for k, v in by_file.items() if k != "small.txt"}
+
+
+def test_pieces_need_no_shuffle(spark):
+    df = spark.read.parquet(f"{DATA}/chunks.parquet")
+    plan = splitting.split_chunks(df, spark.read.parquet(f"{DATA}/chunk_limits.parquet").hint("broadcast"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
 # --- leakage
 
 
