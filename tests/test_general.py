@@ -1,15 +1,16 @@
 """Changes between runs, orphan references, snapshot changes: nulls, ties, repeats, late rows, empty tables, clashing names."""
 
 import random
-import pytest
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from loomseek.operators.changes import MerkleStore, changed_between_runs
 from loomseek.operators.lineage import nearest_ancestor
-from loomseek.operators.orphans import dictionary, orphan_references, orphan_report
+from loomseek.operators.orphans import RANGE, dictionary, orphan_references, orphan_report, pack, unpack
 from loomseek.operators.snapshots import snapshot_changes
 
 T0 = datetime(2025, 1, 1)
@@ -207,9 +208,21 @@ def test_orphans(spark):
 
 
 def test_dictionary_is_dense_and_unique(spark):
-    keys = spark.range(40000).select((F.col("id") % 20000).cast("string").alias("k"))
-    d = dictionary(keys, ["k"])
-    assert d.count() == 20000 and d.select("code").distinct().count() == 20000 and d.select("k").distinct().count() == 20000
+    keys = spark.range(40000).select(F.lit("s").alias("space"), ((F.col("id") % 20000) * 987654321987).cast("string").alias("key"))
+    d = dictionary(keys, 20000)
+    places = d.select("range", "sub", "bit").distinct()
+    assert d.count() == 40000 and places.count() == 20000 and d.select("key", "range", "sub", "bit").distinct().count() == 20000
+    assert places.select("range", "sub").distinct().count() <= 3  # sparse ids share bitmaps
+
+
+def test_packed_bitmaps():
+    rnd = random.Random(2)
+    for at in ([], [0], [RANGE - 1], range(RANGE), range(5, 9000), rnd.sample(range(RANGE), 500), rnd.sample(range(RANGE), 9000), [0, 1, 2, 9, 10, 11, 40]):
+        bits = np.zeros(RANGE, np.uint8)
+        bits[list(at)] = 1
+        packed = pack(np.packbits(bits, bitorder="little"))
+        assert (np.unpackbits(unpack(packed), bitorder="little") == bits).all() and len(packed) <= 1 + RANGE // 8
+    assert len(packed) < 20
 
 
 SNAPS = "repo string, version_id string, file_path string, file_hash string, chain string, at int"
