@@ -480,6 +480,15 @@ def test_fused_ranking(spark):
     assert ranking.fused_ranking(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("together", [0, 15, 10**6])
+def test_large_queries_rank_alike(spark, together):
+    rnd = random.Random(16)
+    data = [(f"q{q}", s, f"c{i}", rnd.choice([rnd.gauss(0, 9), 1.0, 2.0, float("inf")])) for q, n in enumerate([3, 5, 40, 1]) for s in ("dense", "sparse", "rerank") for i in range(n)]
+    df = spark.createDataFrame(data + data[:9], "query_id string, signal string, chunk_id string, score double")
+    cols = ["query_id", "chunk_id", "final_score", "rank", "n_signals"]
+    assert rows(ranking.fused_ranking(df, together=together), *cols) == rows(ranking.fused_ranking(df, together=20), *cols)
+
+
 def test_no_signal_rules_by_its_range(spark):
     rnd = random.Random(6)
     data = [("q", s, f"c{i}", rnd.random()) for s in ("dense", "sparse", "rerank") for i in range(40)]
