@@ -523,7 +523,7 @@ def sufficiency_exact(spark, sf_dir):
 
 
 def _synonym_sql() -> str:
-    keys = ", ".join(f"('{k}', '{t}')" for k, v in planner.SYNONYMS.items() for t in v.split())
+    keys = ", ".join(f"('{k}', '{t}')" for k, v in planner.SYNONYMS.items() for t in v)
     suffixes = ", ".join(f"({i}, '{s}')" for i, s in enumerate(["", *planner.SUFFIXES]))
     return f"""WITH {_TITLES}, syn(key, term) AS (VALUES {keys}), suf(o, s) AS (VALUES {suffixes}), keys AS (SELECT DISTINCT key FROM syn),
 w AS (SELECT DISTINCT query_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*'), lambda x: lower(x))) AS word FROM queries),
