@@ -85,14 +85,11 @@ def recall(approximate: DataFrame, vectors: DataFrame, queries: DataFrame, k: in
     return found.agg(F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)), 6).alias("recall"))
 
 
-#: From so many vectors on cells are searched instead of everything.
-EXACT_BELOW = 50_000
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None) -> DataFrame:
+    """Exact search, or, where the caller names ``cells`` and ``probes``, that of the nearest ``probes`` of so many cells.
 
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact below EXACT_BELOW vectors; beyond, cells by the square root of their number, of which five eighths are probed."""
-    n = vectors.count()
-    if n < EXACT_BELOW:
+    The number of rows changes nothing; what a choice of cells and probes finds is measured by ``recall``.
+    """
+    if cells is None:
         return dense_topk(vectors, queries, k)
-    cells = min(4096, int(n**0.5))
-    return cell_topk(vectors, queries, fit_centres(vectors, cells), k, max(1, cells * 5 // 8))
+    return cell_topk(vectors, queries, fit_centres(vectors, cells), k, probes or cells)

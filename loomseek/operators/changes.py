@@ -12,13 +12,12 @@ the leaf log of ranges that differ is read.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomseek.operators.lineage import nearest_ancestor
 from loomseek.session import staged
+from loomseek.sources.generations import Generations
 
 #: Leaf ranges hold about this many keys; two levels of the tree differ by FAN_BITS bits.
 LEAF_KEYS = 256
@@ -150,69 +149,20 @@ def changed_between_runs(feed: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
-class MerkleStore:
+class MerkleStore(Generations):
     """Incremental runs over one keyed table, safe against failures.
 
-    A generation is a folder with the changes a run found, its output, the leaves (``key, digest``) of the ranges that
+    A generation holds the changes a run found, its output, the leaves (``key, digest``) of the ranges that
     changed, and the digests of all levels. The saved tree follows from the saved changes, not from a reading of
     the source: what a run did not put out is not in its tree, so a row that arrives while the run reads is either
     in both or in neither, and the next run finds it.
-
-    A generation is in force once ``commits/<number>`` names it. That file is put in place by a rename that fails
-    if the number is taken: of two runs at the same time one fails and has published nothing. The rename is atomic on
-    HDFS and POSIX file systems; on an object store it is as atomic as the store's connector makes it. A run that dies
-    before it leaves the last generation in force, and its folder is removed by the next run. There must be one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, leaf_bits: int = 8):
         if leaf_bits % FAN_BITS or not 0 <= leaf_bits <= MAX_LEAF_BITS:
             raise ValueError(f"leaf_bits must be a multiple of {FAN_BITS} up to {MAX_LEAF_BITS}")
-        self.spark, self.path, self.leaf_bits = spark, path.rstrip("/"), leaf_bits
-
-    def _files(self):
-        """Hadoop's view of the store's file system, so the store may lie wherever Spark can write."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm.org.apache.hadoop.fs, path.getFileSystem(sc._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        hadoop, fs = self._files()
-        path = hadoop.Path(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def commits(self) -> list[str]:
-        """The published generations, oldest first."""
-        names = [n for n in self._names(f"{self.path}/commits") if n.isdigit()]
-        if not names:
-            return []
-        found = self.spark.read.text([f"{self.path}/commits/{n}" for n in names]).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("n"), "value")
-        return [r["value"] for r in sorted(found.collect(), key=lambda r: r["n"])]
-
-    def generation(self) -> str | None:
-        """The last published generation, or None before the first."""
-        got = self.commits()
-        return got[-1] if got else None
-
-    def _publish(self, generation: str, number: int) -> None:
-        hadoop, fs = self._files()
-        draft, commit = hadoop.Path(self._at(generation, "commit")), hadoop.Path(f"{self.path}/commits/{number:012d}")
-        fs.mkdirs(commit.getParent())
-        out = fs.create(draft, True)
-        out.writeBytes(generation)
-        out.close()
-        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
-        hadoop.FileContext.getFileContext(fs.getUri()).rename(fs.makeQualified(draft), fs.makeQualified(commit), how)
-
-    def vacuum(self) -> None:
-        """Removes the folders of runs that died."""
-        hadoop, fs = self._files()
-        alive = set(self.commits())
-        for name in self._names(self.path):
-            if name.startswith("g-") and name not in alive:
-                fs.delete(hadoop.Path(f"{self.path}/{name}"), True)
-
-    def _at(self, generation: str, part: str) -> str:
-        return f"{self.path}/{generation}/{part}"
+        super().__init__(spark, path)
+        self.leaf_bits = leaf_bits
 
     def _keyed(self, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         """``leaf, key, digest`` and the row as ``_row``. Null keys drop out; of the rows of one key that with the greatest digest
@@ -234,7 +184,7 @@ class MerkleStore:
         """``(level, node) -> (digest, generation that holds the leaf)``: at most twice two to the ``leaf_bits`` entries."""
         if generation is None:
             return {}
-        return {(r["level"], r["node"]): (r["digest"], r["holder"]) for r in self.spark.read.parquet(self._at(generation, "levels")).collect()}
+        return {(r["level"], r["node"]): (r["digest"], r["holder"]) for r in self.spark.read.parquet(self.at(generation, "levels")).collect()}
 
     def open_leaves(self, current: dict[tuple[int, int], int], saved: dict[tuple[int, int], tuple[int, str | None]]) -> list[int]:
         """The leaves whose digests differ, reached from the root through nodes that differ only."""
@@ -253,26 +203,26 @@ class MerkleStore:
         """
         self.vacuum()
         done = self.commits()
-        old, g = done[-1] if done else None, f"g-{uuid.uuid4().hex}"
+        old, g = done[-1] if done else None, self.new()
         keyed = self._keyed(df, key, columns)
         one = keyed.groupBy("leaf", "key").agg(F.max("digest").alias("digest"))
         current = {(r["level"], r["node"]): r["digest"] for r in self._levels(self._leaf_digests(one)).collect()}
         saved = self._saved_levels(old)
         leaves = self.open_leaves(current, saved)
         found = self._changes(keyed, leaves, saved)
-        found.write.parquet(self._at(g, "changes"))
-        found = self.spark.read.schema(found.schema).parquet(self._at(g, "changes"))
+        found.write.parquet(self.at(g, "changes"))
+        found = self.spark.read.schema(found.schema).parquet(self.at(g, "changes"))
         out = found.select("key", "change", "_row.*")
-        (process(out) if process else out).write.parquet(self._at(g, "output"))
+        (process(out) if process else out).write.parquet(self.at(g, "output"))
         self._save_tree(g, found, leaves, saved)
-        self._publish(g, len(done))
+        self.publish(g, len(done))
         return g
 
     def _read_leaves(self, leaves: list[int], saved: dict) -> DataFrame:
         """The saved ``leaf, key, digest`` of the given ranges; other files are not opened."""
         held = [(n, saved[(self.leaf_bits, n)][1]) for n in leaves if (self.leaf_bits, n) in saved]
         schema = "key string, digest string"
-        rows = self.spark.read.schema(schema).parquet(*[self._at(g, f"leaves/leaf={n}") for n, g in held]) if held else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[self.at(g, f"leaves/leaf={n}") for n, g in held]) if held else self.spark.createDataFrame([], schema)
         leaf = F.shiftrightunsigned(F.xxhash64("key"), 64 - self.leaf_bits).cast("int") if self.leaf_bits else F.lit(0)
         return rows.select(leaf.alias("leaf"), "key", "digest")
 
@@ -290,19 +240,19 @@ class MerkleStore:
         before = self._read_leaves(leaves, saved)
         kept = before.join(found.select("key"), "key", "left_anti").select("leaf", "key", "digest")
         entries = kept.unionByName(found.filter(F.col("change") != "removed").select("leaf", "key", "digest"))
-        entries.repartition("leaf").write.partitionBy("leaf").parquet(self._at(g, "leaves"))
+        entries.repartition("leaf").write.partitionBy("leaf").parquet(self.at(g, "leaves"))
         schema = "leaf int, key string, digest string"
-        entries = self.spark.read.schema(schema).parquet(self._at(g, "leaves"))
+        entries = self.spark.read.schema(schema).parquet(self.at(g, "leaves"))
         opened = set(leaves)
         nodes = [(n, d, h) for (level, n), (d, h) in saved.items() if level == self.leaf_bits and n not in opened]
         nodes += [(r["node"], r["digest"], g) for r in self._leaf_digests(entries).collect()]
         table = self.spark.createDataFrame(nodes, "node int, digest bigint, holder string")
         holders = table.select(F.lit(self.leaf_bits).alias("level"), "node", "holder")
-        self._levels(table).join(holders, ["level", "node"], "left").coalesce(1).write.parquet(self._at(g, "levels"))
+        self._levels(table).join(holders, ["level", "node"], "left").coalesce(1).write.parquet(self.at(g, "levels"))
 
     def output(self) -> DataFrame:
         """The output of the published generation."""
-        return self.spark.read.parquet(self._at(self.generation(), "output"))
+        return self.spark.read.parquet(self.at(self.generation(), "output"))
 
     def tree(self) -> DataFrame:
         """The saved ``leaf, key, digest`` of the published generation."""

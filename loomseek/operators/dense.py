@@ -1,8 +1,9 @@
-"""Vector search: exact top-k by blocks of queries."""
+"""Vector search: exact top-k by blocks of queries, without moving the vectors."""
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from loomseek.operators.ranks import top_ranked
 
-#: Queries of one block, and vectors of one group: what one task multiplies at once.
-BLOCK = 512
-GROUP = 50_000
+#: Bytes of the queries of one block, which every worker gets, and of the results a worker holds for them.
+BLOCK_BYTES = 64 << 20
+#: Rows of vectors and of queries that are multiplied at once.
+ROWS, COLUMNS = 4096, 512
 
 
 def _multiply(vectors: pd.DataFrame, queries: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
@@ -38,20 +40,92 @@ def _multiply(vectors: pd.DataFrame, queries: pd.DataFrame, k: int, least: float
     return pd.concat(out) if out else pd.DataFrame({"query_id": queries["query_id"][:0], "id": vectors["id"][:0], "score": np.zeros(0)})
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, least: float = float("-inf"), block: int = BLOCK) -> DataFrame:
-    """Candidates ``query_id, id, score``: per group of vectors the ``k`` best of each query, and ties with the last.
+class _Best:
+    """The ``k`` best rows of each query so far, in the order of falling score and rising id."""
 
-    A stated query set (query_id, vec) against all rows (id, vec) in blocks: a task multiplies one bounded group of
-    vectors with one block of queries, and what leaves it is ``k`` rows a query. Null ids and vectors are left out.
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.q, self.s, self.ids, self.held = [], [], [], 0
+
+    def add(self, q: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
+        self.q.append(q)
+        self.s.append(s)
+        self.ids.append(ids)
+        self.held += len(q)
+        if self.held > max(2_000_000, 2 * self.k * len(self.least)):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.q:
+            return np.zeros(0, int), np.zeros(0), np.zeros(0, object)
+        q, s, ids = (np.concatenate(x) for x in (self.q, self.s, self.ids))
+        order = np.lexsort((-s, q))
+        q, s, ids = q[order], s[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        count = np.diff(np.append(first, len(q)))
+        full = count >= self.k
+        self.least[q[first[full]]] = s[first[full] + self.k - 1]
+        keep = s >= self.least[q]
+        for f, n in zip(first[full], count[full]):
+            # of those that tie with the last the least ids stay
+            ties = f + np.flatnonzero(s[f : f + n] == s[f + self.k - 1])
+            room = f + self.k - ties[0]
+            if len(ties) > room:
+                keep[ties] = False
+                keep[ties[np.argsort(ids[ties], kind="stable")[:room]]] = True
+        self.q, self.s, self.ids = [q[keep]], [s[keep]], [ids[keep]]
+        self.held = int(keep.sum())
+        return self.q[0], self.s[0], self.ids[0]
+
+
+def _local(batches: Iterator[pd.DataFrame], shared, k: int | None, least: float) -> Iterator[pd.DataFrame]:
+    names, matrix = shared.value
+    best = _Best(len(names), k) if k is not None else None
+    for pdf in batches:
+        pdf = pdf[pdf["vec"].map(len) == matrix.shape[1]]  # vectors of another dimension cannot be compared
+        for a in range(0, len(pdf), ROWS):
+            part = pdf.iloc[a : a + ROWS]
+            ids, v = part["id"].to_numpy(), np.stack(part["vec"].to_numpy()).astype(np.float64)
+            for c in range(0, len(names), COLUMNS):
+                scores = v @ matrix[c : c + COLUMNS].T
+                rounded = np.round(scores, 9)
+                if best is None:
+                    at, q = np.nonzero(scores >= least)
+                    yield pd.DataFrame({"query_id": names[q + c], "id": ids[at], "score": scores[at, q]})
+                    continue
+                bar = best.least[c : c + COLUMNS]
+                if len(v) > k:
+                    bar = np.maximum(bar, np.partition(rounded, len(v) - k, axis=0)[len(v) - k])
+                at, q = np.nonzero((rounded >= bar) & (scores >= least))
+                best.add(q + c, rounded[at, q], ids[at])
+    if best is not None:
+        q, s, ids = best.cut()
+        for a in range(0, len(q), 100_000):
+            yield pd.DataFrame({"query_id": names[q[a : a + 100_000]], "id": ids[a : a + 100_000], "score": s[a : a + 100_000]})
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, k: int | None, least: float = float("-inf")) -> DataFrame:
+    """Candidates ``query_id, id, score``: of each partition of the vectors the ``k`` best of each query; all from ``least`` on if ``k`` is None.
+
+    A stated query set (query_id, vec) against all rows (id, vec), in blocks of bounded bytes: each worker gets a block and passes over
+    its vectors, which are not moved; what leaves a partition is ``k`` rows a query. Null ids and vectors are left out, repeated ids count once.
     """
-    rows = vectors.filter(F.col("vec").isNotNull() & F.col("id").isNotNull()).select("id", "vec").dropDuplicates(["id"])
+    rows = vectors.filter(F.col("vec").isNotNull() & F.col("id").isNotNull()).select("id", "vec")
     qs = queries.filter(F.col("vec").isNotNull() & F.col("query_id").isNotNull()).select("query_id", "vec").dropDuplicates(["query_id"])
-    groups, blocks = vectors.count() // GROUP + 1, queries.count() // block + 1
-    left = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    right = qs.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
     schema = f"query_id {dict(qs.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
-    fn = partial(_multiply, k=k, least=least)
-    return left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInPandas(lambda v, q: fn(v, q), schema)
+    sizes = qs.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a dimension
+    out = [rows.sparkSession.createDataFrame([], schema)]
+    for r in sorted(sizes):
+        blocks = -(-r["n"] * max(8 * r["dim"], 16 * (k or 1)) // BLOCK_BYTES)
+        for b in range(blocks):
+            block = qs.filter((F.size("vec") == r["dim"]) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
+            if block:
+                names = np.empty(len(block), dtype=object)
+                names[:] = [x["query_id"] for x in block]
+                shared = rows.sparkSession.sparkContext.broadcast((names, np.array([x["vec"] for x in block], dtype=np.float64).reshape(len(block), r["dim"])))
+                out.append(rows.mapInPandas(partial(_local, shared=shared, k=k, least=least), schema))
+    found = reduce(DataFrame.unionByName, out[1:] or out)
+    return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float = float("-inf")) -> DataFrame:
@@ -60,5 +134,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float = fl
 
 
 def pairs_above(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """``query_id, id, score`` of all pairs with at least this inner product, but a vector with itself."""
-    return dense_scores(vectors, queries, 1 << 60, least).filter(F.col("query_id") != F.col("id")).withColumn("score", F.round("score", 9))
+    """``query_id, id, score`` of all pairs with at least this inner product, but a vector with itself.
+
+    The result is as large as the pairs are many: choose ``least`` so that they are few.
+    """
+    return dense_scores(vectors, queries, None, least).filter(F.col("query_id") != F.col("id")).withColumn("score", F.round("score", 9))

@@ -28,13 +28,21 @@ def reranked(ranked: DataFrame) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order))
 
 
-def present_weights(ranks: DataFrame, weights: dict[str, float], renormalise: bool = True) -> DataFrame:
-    """``query_id, signal, w``: weights of the signals a query has; a signal of weight zero does not count."""
-    have = ranks.select("query_id", "signal").distinct().withColumn("w", _by_signal(weights)).filter(F.col("w") > 0)
+Weights = dict[str, float] | DataFrame
+
+
+def present_weights(ranks: DataFrame, weights: Weights, renormalise: bool = True) -> DataFrame:
+    """``query_id, signal, w``: weights of the signals a query has; a signal of weight zero does not count.
+
+    ``weights`` are those of all queries, or a table ``query_id, signal, w``.
+    """
+    have = ranks.select("query_id", "signal").distinct()
+    have = have.withColumn("w", _by_signal(weights)) if isinstance(weights, dict) else have.join(weights, ["query_id", "signal"])
+    have = have.filter(F.col("w") > 0)
     return have.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("query_id"))) if renormalise else have
 
 
-def rrf(ranked: DataFrame, weights: dict[str, float], rrf_k: int = 60, renormalise: bool = True, signals: list[str] | None = None) -> DataFrame:
+def rrf(ranked: DataFrame, weights: Weights, rrf_k: int = 60, renormalise: bool = True, signals: list[str] | None = None) -> DataFrame:
     """``query_id, chunk_id, rrf_score, contributions, dominant_signal, rank``.
 
     The score is the sum of ``w / (rrf_k + rank)`` over the signals; contributions map a signal to its rank; the dominant
@@ -52,7 +60,7 @@ def rrf(ranked: DataFrame, weights: dict[str, float], rrf_k: int = 60, renormali
     return fused.withColumn("rank", F.row_number().over(order))
 
 
-def rrf_terms(ranked: DataFrame, weights: dict[str, float], rrf_k: int = 60) -> DataFrame:
+def rrf_terms(ranked: DataFrame, weights: Weights, rrf_k: int = 60) -> DataFrame:
     """The terms a fused score is made of: ``query_id, chunk_id, signal, rank, weight, term``."""
     ranks = best_ranks(ranked)
     return ranks.join(present_weights(ranks, weights), ["query_id", "signal"]).select("query_id", "chunk_id", "signal", "rank", F.round("w", 9).alias("weight"), F.round(F.col("w") / (F.lit(rrf_k) + F.col("rank")), 9).alias("term"))
@@ -62,23 +70,25 @@ def merge_lists(lists: DataFrame, rrf_k: int = 60) -> DataFrame:
     """Merges the lists of sub-queries or versions: ``query_id, signal, chunk_id, score, rank``.
 
     lists: ``query_id, signal, list_id, chunk_id, score, rank``. A query and signal with one list that is not
-    empty keeps its scores; of several, the score is the sum of ``1 / (rrf_k + rank)``.
+    empty keeps its scores; of several, the score is the sum of ``1 / (rrf_k + rank)``. A ``reason`` stays with its chunk.
     """
     n = F.size(F.collect_set("list_id").over(Window.partitionBy("query_id", "signal")))
     marked = lists.withColumn("n_lists", n)
+    more = [F.max("reason").alias("reason")] if "reason" in lists.columns else []
     merged = marked.groupBy("query_id", "signal", "chunk_id").agg(
-        F.when(F.max("n_lists") == 1, F.max("score")).otherwise(F.sum(1 / (F.lit(rrf_k) + F.col("rank")))).alias("score")
+        F.when(F.max("n_lists") == 1, F.max("score")).otherwise(F.sum(1 / (F.lit(rrf_k) + F.col("rank")))).alias("score"), *more
     )
     order = Window.partitionBy("query_id", "signal").orderBy(F.desc("score"), "chunk_id")
     return merged.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(order))
 
 
 def weight_sweep(ranked: DataFrame, qrels: DataFrame, sparse_weights: list[float], k: int = 10) -> DataFrame:
-    """NDCG of the fusion for each sparse weight, in one plan: ``sparse_weight, ndcg``."""
+    """NDCG of the fusion for each sparse weight, in one plan: ``sparse_weight, ndcg``. The ranks are folded once for all weights."""
     from loomseek.operators.metrics import macro_metrics
 
-    out = []
-    for w in sparse_weights:
-        run = rrf(ranked, {"dense": 1 - w, "sparse": w}, renormalise=False, signals=["dense", "sparse"]).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rrf_score").alias("score"))
-        out.append(macro_metrics(run, qrels, [k]).select(F.lit(float(w)).alias("sparse_weight"), "ndcg"))
-    return reduce(DataFrame.unionByName, out)
+    ranks = best_ranks(ranked, ["dense", "sparse"])
+    term = lambda signal: F.coalesce(F.max(F.when(F.col("signal") == signal, 1 / (F.lit(60) + F.col("rank")))), F.lit(0.0))
+    per = ranks.groupBy("query_id", F.col("chunk_id").alias("doc_id")).agg(term("dense").alias("dense"), term("sparse").alias("sparse"))
+    run = per.withColumn("sparse_weight", F.explode(F.array(*[F.lit(float(w)) for w in sparse_weights])))
+    run = run.withColumn("score", F.round((1 - F.col("sparse_weight")) * F.col("dense") + F.col("sparse_weight") * F.col("sparse"), 9)).filter(F.col("score") > 0)
+    return macro_metrics(run, qrels, [k], by="sparse_weight").select("sparse_weight", "ndcg")

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomseek.functions.text import module_stem
+from loomseek.functions.paths import canonical_path
+from loomseek.functions.text import callee_parts, module_stem
 from loomseek.operators.ranks import top_ranked
+from loomseek.operators.spread import spread_rank
 
 # The order in which evidence counts, per type of query.
 PRIORITY = {
@@ -24,20 +26,61 @@ OVERSAMPLE = 4
 EXTENSIONS = [".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx"]
 
 
+# What relations from chunks say where chunks say nothing.
+IMPORT_KIND, IMPORT_LINE, EXPORT_KIND = "esm_namespace", 1, "named"
+
+
+def _one_a_chunk(chunks: DataFrame) -> DataFrame:
+    """One row per repository and chunk, the same in every relation."""
+    place = F.struct(F.coalesce("file_path", F.lit("")), F.coalesce("start_line", F.lit(0)), F.coalesce("version_id", F.lit("")))
+    cols = [c for c in ("symbol", "kind", "parent_symbol", "file_path", "start_line", "end_line", "start_byte", "end_byte", "is_exported", "language", "version_id", "imports", "calls") if c in chunks.columns]
+    return chunks.filter(F.col("chunk_id").isNotNull()).groupBy(F.coalesce("repo", F.lit("")).alias("repo"), "chunk_id").agg(*[F.min_by(c, place).alias(c) for c in cols])
+
+
 def symbols_of(chunks: DataFrame) -> DataFrame:
-    """One symbol row per chunk; ids are dense per repository in canonical order."""
-    order = Window.partitionBy("repo").orderBy("file_path", "start_line", "chunk_id")
-    cols = ["repo", "chunk_id", "symbol", "kind", "parent_symbol", "file_path", "start_line", "end_line", "is_exported", "language", "version_id"]
-    return chunks.select(*cols).dropDuplicates(["repo", "chunk_id"]).withColumn("symbol_id", F.row_number().over(order))
+    """One symbol row per chunk; ids are dense per repository in the order of path, line and chunk id, in repositories of any size."""
+    one = _one_a_chunk(chunks).drop("imports", "calls").withColumn("file_path", F.coalesce("file_path", F.lit("")))
+    return spread_rank(one, ["repo"], [F.col("file_path"), F.col("start_line"), F.col("chunk_id")], "symbol_id").drop("symbol_id_of")
 
 
 def calls_of(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Call rows in source order with resolved callees. Repeats are kept; the line is that of the chunk."""
+    """Call rows in source order with resolved callees. Repeats are kept, a blank name leaves a gap in the order; the line is that of the chunk."""
     ids = symbols.select("repo", "chunk_id", F.col("symbol_id").alias("caller_id"))
-    raw = chunks.dropDuplicates(["repo", "chunk_id"]).select("repo", "chunk_id", "file_path", F.col("start_line").alias("call_line"), F.posexplode("calls").alias("call_order", "callee"))
-    name = F.element_at(F.split("callee", r"\."), -1)
-    rows = raw.join(ids, ["repo", "chunk_id"]).select("repo", "file_path", "caller_id", name.alias("callee_name"), "call_order", "call_line", F.contains("callee", F.lit(".")).alias("is_method"))
-    return resolved(rows, symbols)
+    raw = _one_a_chunk(chunks).select("repo", "chunk_id", "file_path", "version_id", F.col("start_line").alias("call_line"), F.posexplode("calls").alias("call_order", "callee"))
+    name, receiver = callee_parts(F.trim("callee"))
+    rows = raw.join(ids, ["repo", "chunk_id"]).select("repo", "file_path", "version_id", "caller_id", name.alias("callee_name"), "call_order", "call_line", receiver.isNotNull().alias("is_method"), receiver.alias("receiver"))
+    return resolved(rows.filter(F.col("callee_name") != ""), symbols)
+
+
+def imports_of(chunks: DataFrame) -> DataFrame:
+    """Import rows, one per file and specifier, with the path a relative one resolves to among the files of the chunks.
+
+    A bare specifier, and one that leaves the repository, stays unresolved.
+    """
+    one = _one_a_chunk(chunks)
+    rows = one.select("repo", "file_path", "version_id", F.explode(F.transform("imports", lambda m: F.trim(m))).alias("module_spec")).filter((F.col("module_spec") != "") & F.col("file_path").isNotNull())
+    specs = rows.groupBy("repo", "file_path", "module_spec").agg(F.min("version_id").alias("version_id"))
+    target = canonical_path(F.concat(F.regexp_replace("file_path", "[^/]+$", ""), "module_spec"))
+    inside = specs.filter(F.startswith("module_spec", F.lit("."))).select("repo", "file_path", "module_spec", target.alias("target")).filter(~F.startswith("target", F.lit("..")))
+    found = resolved_modules(inside, one.select("repo", "file_path").distinct())
+    none = F.lit(None).cast("string")
+    return specs.join(found, ["repo", "file_path", "module_spec"], "left").select(
+        "repo", "file_path", "module_spec", F.col("resolved").alias("resolved_path"), none.alias("imported_name"), none.alias("local_alias"), F.lit(IMPORT_KIND).alias("import_kind"), F.lit(IMPORT_LINE).alias("import_line"), "version_id"
+    )
+
+
+def exports_of(symbols: DataFrame) -> DataFrame:
+    """Export rows of exported symbols, one per file and name: the first in the order of ids."""
+    rows = symbols.filter(F.col("is_exported") & F.col("symbol").isNotNull() & (F.col("symbol") != ""))
+    first = rows.groupBy("repo", "file_path", F.col("symbol").alias("exported_name")).agg(F.min(F.struct("symbol_id", F.col("start_line").alias("export_line"), "version_id")).alias("f"))
+    return first.select("repo", "file_path", "exported_name", F.col("exported_name").alias("local_name"), "f.symbol_id", F.lit(EXPORT_KIND).alias("export_kind"), "f.export_line", "f.version_id")
+
+
+def relations_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Symbols, calls, imports and exports of a table of chunks, symbol ids made unique over all repositories."""
+    symbols = symbols_of(chunks)
+    every = symbols.withColumn("symbol_id", F.xxhash64("repo", "symbol_id"))
+    return every, calls_of(chunks, every), imports_of(chunks), exports_of(every)
 
 
 def resolved(calls: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def spread_rank(df: DataFrame, by: list[str], order: list[Column], name: str = "
 
     The order must be total within a group, and the ``by`` columns must not be null.
     """
-    placed = staged(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()))
+    placed = staged(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()))  # without ``by``: one group
     counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by)
     offsets = counts.select(*by, "_part", (F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias(f"{name}_of"))

@@ -16,6 +16,7 @@ from loomseek.operators import ann, dense, families, fusion, graph, metrics, ran
 from loomseek.operators.chunking import chunk_files as cut_files
 from loomseek.operators.lineage import nearest_ancestor
 from loomseek.plans import pipeline, planner
+from loomseek.plans.reindex import file_hashes, reindex
 from loomseek.session import staged, table
 from loomseek.settings import DEFAULT
 from loomseek.streaming import ingest
@@ -86,12 +87,19 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- tokenizers and hashing ------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT doc_id, len({_code_terms('text')}) AS code, len({_words('text')}) AS words, len({_hash_terms('text')}) AS hashed, len({_eval_terms('text')}) AS eval, len({_lexical_terms('text')}) AS lexical
+# DuckDB's list_distinct keeps no order
+_ORDERED = {"code": "list_sort({})"}
+_TOKENIZERS = {"code": (_code_terms, T.code_terms), "words": (_words, T.whitespace_terms), "hashed": (_hash_terms, T.hash_terms), "eval": (_eval_terms, T.eval_terms), "lexical": (_lexical_terms, T.lexical_terms)}
+
+
+@query(f"""SELECT doc_id, {', '.join(f"len({sql('text')}) AS {n}, md5(array_to_string({_ORDERED.get(n, '{}').format(sql('text'))}, ' ')) AS {n}_terms" for n, (sql, _) in _TOKENIZERS.items())}
 FROM (SELECT doc_id, max(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY doc_id)""")
 def tokenizers(spark, sf_dir):
-    """How many terms each of the five tokenizers finds."""
-    t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.code_terms(t)).alias("code"), F.size(T.whitespace_terms(t)).alias("words"), F.size(T.hash_terms(t)).alias("hashed"), F.size(T.eval_terms(t)).alias("eval"), F.size(T.lexical_terms(t)).alias("lexical"))
+    """How many terms each of the five tokenizers finds, and a digest of the terms in their order."""
+    out = ["doc_id"]
+    for name, (_, terms) in _TOKENIZERS.items():
+        out += [F.size(terms(F.col("text"))).alias(name), F.md5(F.array_join(F.sort_array(terms(F.col("text"))) if name in _ORDERED else terms(F.col("text")), " ")).alias(f"{name}_terms")]
+    return _docs(spark, sf_dir).select(*out)
 
 
 _INDEX = f"""{_DOCS},
@@ -325,6 +333,7 @@ def _tiers() -> str:
     return "tiers(query_type, evidence, tier) AS (VALUES " + ", ".join(rows) + ")"
 
 
+_WHY = "why AS (SELECT query_id, chunk_id, string_agg(detail, '; ' ORDER BY tier DESC, detail) AS reason FROM (SELECT DISTINCT query_id, chunk_id, tier, detail FROM {}) GROUP BY ALL)"
 _TYPE = "CASE length(query_id) % 4 WHEN 0 THEN 'structural' WHEN 1 THEN 'semantic' WHEN 2 THEN 'usage' ELSE 'hybrid' END"
 
 
@@ -335,18 +344,19 @@ def _typed_plans(spark, sf_dir):
 
 @query(f"""WITH {_IDS}, {_REPS}, {_tiers()}, hits AS ({' UNION ALL '.join('SELECT * FROM (' + s + ')' for s in _SHAPES.values())}),
 routed AS (SELECT * FROM (SELECT h.*, tier, row_number() OVER (PARTITION BY query_id, h.evidence, identifier ORDER BY chunk_id) AS n FROM hits h JOIN tiers t ON t.evidence = h.evidence AND t.query_type = {_TYPE}) WHERE n <= 200),
-f AS (SELECT query_id, chunk_id, round(max(tier)::DOUBLE + 0.01 * least(count(DISTINCT evidence) - 1, 5), 9) AS score, count(DISTINCT evidence) AS kinds FROM routed GROUP BY ALL)
-SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 50""")
+f AS (SELECT query_id, chunk_id, round(max(tier)::DOUBLE + 0.01 * least(count(DISTINCT evidence) - 1, 5), 9) AS score FROM routed GROUP BY ALL), {_WHY.format('routed')}
+SELECT query_id, chunk_id, score, rank, reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) JOIN why USING (query_id, chunk_id) WHERE rank <= 50""")
 def structural_topk(spark, sf_dir):
     """The reference's way: 200 chunks at most per query, kind of evidence and identifier; structural_exact drops none."""
-    return graph.structural_search(_typed_plans(spark, sf_dir), *_graph(spark, sf_dir), 50, 50 * graph.OVERSAMPLE).select("query_id", "chunk_id", "score", "rank")
+    return graph.structural_search(_typed_plans(spark, sf_dir), *_graph(spark, sf_dir), 50, 50 * graph.OVERSAMPLE).select("query_id", "chunk_id", "score", "rank", "reason")
 
 
 @query(f"""WITH {_IDS}, {_REPS}, {_tiers()}, hits AS ({' UNION ALL '.join('SELECT * FROM (' + s + ')' for s in _SHAPES.values())}),
-f AS (SELECT query_id, chunk_id, round(max(tier)::DOUBLE + 0.01 * least(count(DISTINCT h.evidence) - 1, 5), 9) AS score FROM hits h JOIN tiers t ON t.evidence = h.evidence AND t.query_type = {_TYPE} GROUP BY ALL)
-SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 50""")
+routed AS (SELECT h.*, tier FROM hits h JOIN tiers t ON t.evidence = h.evidence AND t.query_type = {_TYPE}),
+f AS (SELECT query_id, chunk_id, round(max(tier)::DOUBLE + 0.01 * least(count(DISTINCT evidence) - 1, 5), 9) AS score FROM routed GROUP BY ALL), {_WHY.format('routed')}
+SELECT query_id, chunk_id, score, rank, reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) JOIN why USING (query_id, chunk_id) WHERE rank <= 50""")
 def structural_exact(spark, sf_dir):
-    return graph.structural_search(_typed_plans(spark, sf_dir), *_graph(spark, sf_dir), 50).select("query_id", "chunk_id", "score", "rank")
+    return graph.structural_search(_typed_plans(spark, sf_dir), *_graph(spark, sf_dir), 50).select("query_id", "chunk_id", "score", "rank", "reason")
 
 
 @query("""WITH c AS (SELECT DISTINCT call_id, callee_id FROM calls)
@@ -408,26 +418,22 @@ m AS (SELECT sig.signal, i.query_id, i.k, round(coalesce(dcg / idcg, 0), 8) AS n
   FROM i JOIN p USING (query_id) CROSS JOIN sig LEFT JOIN g ON g.query_id = i.query_id AND g.k = i.k AND g.signal = sig.signal)"""
 
 
-def _runs(spark, sf_dir, signal):
-    return table(spark, sf_dir, "ranked").filter(F.col("score").isNotNull() & ~F.isnan("score") & (F.col("signal") == signal)).select("query_id", F.col("chunk_id").alias("doc_id"), "score")
+def _runs(spark, sf_dir):
+    return table(spark, sf_dir, "ranked").filter(F.col("score").isNotNull() & ~F.isnan("score")).select("signal", "query_id", F.col("chunk_id").alias("doc_id"), "score")
 
 
 def _qrels(spark, sf_dir):
     return table(spark, sf_dir, "qrels").withColumnRenamed("chunk_id", "doc_id")
 
 
-@query(_eval_sql([10]) + " SELECT query_id, k, ndcg, mrr, recall, map FROM m WHERE signal = 'dense'")
+@query(_eval_sql([1, 3, 5, 10, 100]) + " SELECT signal, query_id, k, ndcg, mrr, recall, map FROM m")
 def metrics_per_query(spark, sf_dir):
-    return metrics.query_metrics(_runs(spark, sf_dir, "dense"), _qrels(spark, sf_dir), [10])
+    return metrics.query_metrics(_runs(spark, sf_dir), _qrels(spark, sf_dir), [1, 3, 5, 10, 100], by="signal")
 
 
 @query(_eval_sql([1, 3, 5, 10, 100]) + " SELECT signal, k, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(recall), 6) AS recall, round(avg(map), 6) AS map, count(*) AS queries FROM m GROUP BY ALL")
 def metrics_macro(spark, sf_dir):
-    out = None
-    for s in ("dense", "sparse", "structural", "rerank"):
-        m = metrics.macro_metrics(_runs(spark, sf_dir, s), _qrels(spark, sf_dir), [1, 3, 5, 10, 100]).withColumn("signal", F.lit(s))
-        out = m if out is None else out.unionByName(m)
-    return out
+    return metrics.macro_metrics(_runs(spark, sf_dir), _qrels(spark, sf_dir), [1, 3, 5, 10, 100], by="signal")
 
 
 @query("""WITH run AS (SELECT DISTINCT query_id, chunk_id FROM ranked WHERE score IS NOT NULL AND lower(CAST(score AS VARCHAR)) NOT LIKE '%nan%' AND signal = 'structural'),
@@ -435,7 +441,8 @@ j AS (SELECT query_id, chunk_id, max(grade) AS grade FROM qrels GROUP BY ALL), j
 SELECT (SELECT count(*) FROM jq) AS judged_queries, (SELECT count(*) FROM jq JOIN rq USING (query_id)) AS answered_queries, (SELECT count(*) FROM jq ANTI JOIN rq USING (query_id)) AS empty_queries,
   (SELECT count(*) FROM rq ANTI JOIN jq USING (query_id)) AS unjudged_queries, (SELECT count(*) FROM run) AS retrieved, (SELECT count(*) FROM run JOIN j USING (query_id, chunk_id) WHERE grade > 0) AS retrieved_relevant""")
 def run_coverage(spark, sf_dir):
-    return metrics.run_coverage(_runs(spark, sf_dir, "structural"), _qrels(spark, sf_dir))
+    """Coverage of the structural run, the one that leaves queries without an answer."""
+    return metrics.run_coverage(_runs(spark, sf_dir).filter("signal = 'structural'"), _qrels(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT DISTINCT run_id, strategy, elapsed_ms FROM reindex_reports WHERE elapsed_ms IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY elapsed_ms) AS k, count(*) OVER (PARTITION BY strategy) AS n FROM r)
@@ -584,19 +591,32 @@ def diff_summary(spark, sf_dir):
     return families.diff_by_hash(side("a"), side("b")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _snippets(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return v.select(
-        F.concat(F.lit("s"), "label").alias("symbol"), F.concat(F.lit("f"), (F.col("id") / 200).cast("int")).alias("file_path"), F.concat(F.lit("v"), F.col("id") % 4).alias("version_id"),
-        F.col("id").cast("string").alias("chunk_id"), F.lit(1).alias("start_line"), (F.col("id") % 4).cast("int").alias("version_order"), "vec",
-    )
+@query()
+def snippet_families(spark, sf_dir):
+    """Families of all snippets of one symbol and path across the versions of a repository, by vectors of their contents."""
+    chunks = table(spark, sf_dir, "chunks").filter("file_path IS NOT NULL AND text IS NOT NULL")
+    ages = families.newest_first(table(spark, sf_dir, "reindex_reports")).select("repo", "version_id", F.col("age").alias("version_order"))
+    vecs = staged(hash_embed(chunks.groupBy("content_hash").agg(F.min("text").alias("text")), "content_hash", "text"))
+    rows = chunks.withColumn("file_path", F.concat_ws("/", "repo", "file_path")).join(ages, ["repo", "version_id"]).join(vecs, "content_hash")
+    members = families.build_families(rows.select("symbol", "file_path", "version_id", "chunk_id", "start_line", "version_order", "vec"))
+    total = ages.groupBy("repo").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    return families.family_table(members, total).select("family_id", "family_no", "representative", F.size("members").alias("n_members"), "stability")
 
 
 @query()
-def snippet_families(spark, sf_dir):
-    """Greedy families of the vectors, with a label and a block of ids as the key and four versions."""
-    members = families.build_families(_snippets(spark, sf_dir), 0.1)
-    return families.family_table(members, 4).select("family_id", "family_no", "representative", F.size("members").alias("n_members"), "stability")
+def reindex_step(spark, sf_dir):
+    """One incremental step over all repositories: from the files that were live before the last deletion of each to those live now."""
+    f = table(spark, sf_dir, "source_files").filter(F.col("file_path").rlike(r"\.(js|mjs|cjs|jsx|ts)$")).withColumn("file_path", F.concat_ws("/", "repo", "file_path"))
+    one = f.groupBy("file_path").agg(F.max_by("content", "loaded_at").alias("content"), F.max_by("repo", "loaded_at").alias("repo"), F.max(F.coalesce("deleted_at", F.lit("9999-01-01").cast("timestamp"))).alias("until"), F.min("loaded_at").alias("since"))
+    one = staged(one)
+    middle = one.agg(F.percentile_approx("since", 0.9)).first()[0]
+    old = one.filter(F.col("since") <= F.lit(middle)).select("repo", "file_path", "content")
+    now = one.filter("until > timestamp'9998-01-01'").select("repo", "file_path", "content")
+    none = spark.createDataFrame([], "content_hash string, model_id string, dim int, vec array<double>")
+    first = reindex(cut_files(old.limit(0)).withColumn("version_id", F.lit("0")), file_hashes(old.limit(0)), old, none, "1")
+    then = reindex(first.chunks, file_hashes(old), now, first.new_blobs, "2")
+    rows = [(v, k, int(n)) for v, r in (("1", first), ("2", then)) for k, n in r.report.items()]
+    return spark.createDataFrame(rows, "version_id string, counter string, n bigint")
 
 
 @query(f"""WITH {_RANKED}, b AS (SELECT query_id, chunk_id, max(CASE WHEN signal = 'dense' THEN score END) AS base, count(DISTINCT signal) AS n FROM r GROUP BY ALL HAVING base IS NOT NULL),
@@ -628,8 +648,8 @@ def chunk_files(spark, sf_dir):
     return cut_files(files).select("repo", "file_path", "chunk_id", "start_line", "end_line", "symbol", "kind", F.size("calls").alias("n_calls"))
 
 
-@query("""SELECT DISTINCT chunk_id, CASE WHEN contains(lower(text), 'await') AND (contains(lower(text), 'for (') OR contains(lower(text), 'for(')) THEN 'awaits inside a for-loop; consider Promise.all for independent calls'
-  WHEN contains(lower(text), '.foreach(') AND contains(lower(text), 'async') THEN 'async callback inside forEach; the loop does not await it' END AS hint FROM chunks
+@query(f"""SELECT DISTINCT chunk_id, CASE WHEN contains(lower(text), 'await') AND (contains(lower(text), 'for (') OR contains(lower(text), 'for(')) THEN '{pipeline.AWAIT_IN_LOOP}'
+  WHEN contains(lower(text), '.foreach(') AND contains(lower(text), 'async') THEN '{pipeline.ASYNC_FOR_EACH}' END AS hint FROM chunks
 WHERE (contains(lower(text), 'await') AND (contains(lower(text), 'for (') OR contains(lower(text), 'for('))) OR (contains(lower(text), '.foreach(') AND contains(lower(text), 'async'))""")
 def optimization_hints(spark, sf_dir):
     return table(spark, sf_dir, "chunks").select("chunk_id", pipeline.optimization_hint(F.col("text")).alias("hint")).filter("hint IS NOT NULL").distinct()
@@ -645,14 +665,14 @@ def hybrid_topk(spark, sf_dir):
     index, plans = _chunk_index(spark, sf_dir), staged(planner.plan_queries(_titles(spark, sf_dir)))
     out = pipeline.one_pass(index, plans, rerank=False)
     named = out.join(index.chunks.select("chunk_id", "kind", "symbol", "text"), "chunk_id").join(plans.select("query_id", F.concat("identifiers", "expansion_terms").alias("terms")), "query_id")
-    row = {c: F.col(c) for c in ("dominant_signal", "contributions", "kind", "symbol")} | {"detail": F.lit(None).cast("string")}
+    row = {c: F.col(c) for c in ("dominant_signal", "contributions", "kind", "symbol")} | {"detail": F.col("reason")}
     return named.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "rank", "dominant_signal", pipeline.match_reason(row, pipeline.matched_terms(F.col("symbol"), F.col("text"), F.col("terms"))).alias("match_reason"))
 
 
 @query()
 def agent_two_pass(spark, sf_dir):
     """Reranked answers, with a second pass for the queries whose first was not enough."""
-    return pipeline.answer(_chunk_index(spark, sf_dir), _titles(spark, sf_dir)).select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank", "passes", "stop_reason")
+    return pipeline.answer(_chunk_index(spark, sf_dir), _titles(spark, sf_dir)).results.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank", "passes", "stop_reason")
 
 
 @query()
@@ -672,6 +692,96 @@ def eval_search(spark, sf_dir):
     return asked.withColumn("query_id", F.md5("text")).join(fused, "query_id").select(F.col("asked_id").alias("query_id"), F.col("chunk_id").alias("doc_id"), "rrf_score", "rank")
 
 
+# --- relations from chunks, and single functions ------------------------------------------------------------------
+
+_ONE = """one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, chunk_id ORDER BY coalesce(file_path, ''), coalesce(start_line, 0), coalesce(version_id, '')) AS n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n = 1),
+sym AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY file_path, start_line, chunk_id) AS symbol_id FROM one)"""
+
+
+@query(f"WITH {_ONE} SELECT repo, chunk_id, symbol_id, symbol, kind, file_path, start_line, is_exported FROM sym")
+def relation_symbols(spark, sf_dir):
+    return graph.symbols_of(table(spark, sf_dir, "chunks")).select("repo", "chunk_id", "symbol_id", "symbol", "kind", "file_path", "start_line", "is_exported")
+
+
+@query(f"""WITH {_ONE}, e AS (SELECT *, row_number() OVER (PARTITION BY repo, file_path, symbol ORDER BY symbol_id) AS k FROM sym WHERE is_exported AND symbol <> '')
+SELECT repo, file_path, symbol AS exported_name, symbol AS local_name, symbol_id, 'named' AS export_kind, start_line AS export_line FROM e WHERE k = 1""")
+def relation_exports(spark, sf_dir):
+    return graph.exports_of(graph.symbols_of(table(spark, sf_dir, "chunks"))).select("repo", "file_path", "exported_name", "local_name", "symbol_id", "export_kind", "export_line")
+
+
+@query(f"""WITH RECURSIVE {_ONE}, s AS (SELECT DISTINCT repo, file_path, trim(unnest(imports)) AS module_spec FROM one WHERE file_path IS NOT NULL), sp AS (SELECT * FROM s WHERE module_spec <> ''),
+raw AS (SELECT DISTINCT regexp_replace(file_path, '[^/]+$', '') || module_spec AS path FROM sp WHERE module_spec LIKE '.%'),
+walk AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS steps, 1 AS i, []::VARCHAR[] AS acc FROM raw
+  UNION ALL SELECT path, steps, i + 1, CASE WHEN steps[i] = '..' AND len(acc) > 0 AND acc[-1] <> '..' THEN acc[:len(acc) - 1] ELSE list_append(acc, steps[i]) END FROM walk WHERE i <= len(steps)),
+canon AS (SELECT path, array_to_string(acc, '/') AS cpath FROM walk WHERE i = len(steps) + 1 AND array_to_string(acc, '/') NOT LIKE '..%'),
+tries(n, t) AS (VALUES {', '.join(f"({n}, '{t}')" for n, t in enumerate(["", *graph.EXTENSIONS, *[f"/index{e}" for e in graph.EXTENSIONS]]))}), known AS (SELECT DISTINCT repo, file_path AS candidate FROM one),
+hits AS (SELECT sp.repo, sp.file_path, sp.module_spec, arg_min(candidate, n) AS resolved FROM sp JOIN canon ON canon.path = regexp_replace(sp.file_path, '[^/]+$', '') || sp.module_spec AND sp.module_spec LIKE '.%' CROSS JOIN tries JOIN known ON known.repo = sp.repo AND candidate = cpath || t GROUP BY ALL)
+SELECT sp.repo, sp.file_path, sp.module_spec, resolved AS resolved_path, 'esm_namespace' AS import_kind FROM sp LEFT JOIN hits ON hits.repo = sp.repo AND hits.file_path = sp.file_path AND hits.module_spec = sp.module_spec""")
+def relation_imports(spark, sf_dir):
+    return graph.imports_of(table(spark, sf_dir, "chunks")).select("repo", "file_path", "module_spec", "resolved_path", "import_kind")
+
+
+@query(f"""WITH {_RANKED}, a AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM r WHERE signal = 'sparse'), b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM r WHERE signal = 'dense')
+SELECT b.query_id, b.chunk_id, a.rank AS first_rank, b.rank AS final_rank, a.rank - b.rank AS moved FROM b LEFT JOIN a USING (query_id, chunk_id)""")
+def rank_movement(spark, sf_dir):
+    """How the sparse order changes to the dense one."""
+    order = fusion.reranked(_ranked(spark, sf_dir))
+    return ranks.rank_movement(order.filter("signal = 'sparse'"), order.filter("signal = 'dense'"), ["query_id"]).select("query_id", "chunk_id", "first_rank", "final_rank", "moved")
+
+
+@query(r"SELECT DISTINCT title, trim(regexp_replace(trim(regexp_replace(title, '\s+', ' ', 'g'))[:2048], ' +$', '')) AS normalised FROM documents WHERE title IS NOT NULL")
+def normalised_queries(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("title IS NOT NULL").select("title", T.normalise_query(F.col("title")).alias("normalised")).distinct()
+
+
+@query(r"""WITH p AS (SELECT resolved_path AS path FROM imports UNION SELECT file_path FROM source_files) SELECT path, regexp_replace(regexp_replace(replace(path, chr(92), '/'), '^[A-Za-z]:', ''), '^(\./|/)+', '') AS normalised,
+  regexp_replace(string_split(path, '/')[-1], '\.(js|mjs|cjs|jsx|ts|tsx)$', '') AS stem, regexp_replace(path, '([!%_])', '!\1', 'g') AS escaped FROM p WHERE path IS NOT NULL""")
+def path_functions(spark, sf_dir):
+    """Normal form, module stem and LIKE pattern of all paths."""
+    p = table(spark, sf_dir, "imports").select(F.col("resolved_path").alias("path")).unionByName(table(spark, sf_dir, "source_files").select(F.col("file_path").alias("path"))).filter("path IS NOT NULL").distinct()
+    return p.select("path", T.normalise_file_path(F.col("path")).alias("normalised"), T.module_stem(F.col("path")).alias("stem"), T.like_escaped(F.col("path")).alias("escaped"))
+
+
+@query("""WITH c AS (SELECT DISTINCT unnest(calls) AS callee FROM chunks UNION SELECT DISTINCT receiver || '.' || callee_name FROM calls WHERE receiver IS NOT NULL)
+SELECT callee, string_split(callee, '.')[-1] AS name, CASE WHEN contains(callee, '.') THEN array_to_string(string_split(callee, '.')[:-2], '.') END AS receiver FROM c WHERE callee IS NOT NULL""")
+def callee_splits(spark, sf_dir):
+    """Name and receiver of every callee."""
+    chunks, calls = table(spark, sf_dir, "chunks"), table(spark, sf_dir, "calls")
+    every = chunks.select(F.explode("calls").alias("callee")).unionByName(calls.filter("receiver IS NOT NULL").select(F.concat_ws(".", "receiver", "callee_name").alias("callee"))).filter("callee IS NOT NULL").distinct()
+    name, receiver = T.callee_parts(F.col("callee"))
+    return every.select("callee", name.alias("name"), receiver.alias("receiver"))
+
+
+@query("""WITH v AS (SELECT repo, min(version_id) AS a, max(version_id) AS b FROM file_snapshots GROUP BY ALL HAVING min(version_id) <> max(version_id)),
+x AS (SELECT DISTINCT v.repo || '/' || file_path AS path, lower(file_hash) AS h FROM v JOIN file_snapshots f ON f.repo = v.repo AND f.version_id = v.a), y AS (SELECT DISTINCT v.repo || '/' || file_path AS path, lower(file_hash) AS h FROM v JOIN file_snapshots f ON f.repo = v.repo AND f.version_id = v.b),
+gone AS (SELECT coalesce(x.path, y.path) AS path FROM x FULL JOIN y USING (path) WHERE x.h IS DISTINCT FROM y.h OR x.path IS NULL OR y.path IS NULL)
+SELECT DISTINCT chunk_id, 'next' AS version_id FROM chunks WHERE chunk_id IS NOT NULL AND repo || '/' || file_path NOT IN (SELECT path FROM gone)""")
+def carried_chunks(spark, sf_dir):
+    """Chunks whose file did not change between the first and the last snapshot of its repository."""
+    f = table(spark, sf_dir, "file_snapshots")
+    ends = f.groupBy("repo").agg(F.min("version_id").alias("a"), F.max("version_id").alias("b")).filter("a <> b")
+    side = lambda c: f.join(ends.select("repo", F.col(c).alias("version_id")), ["repo", "version_id"], "left_semi").select(F.concat_ws("/", "repo", "file_path").alias("path"), F.lower("file_hash").alias("hash"))
+    status = F.when(F.col("status") == "added", "A").when(F.col("status") == "deleted", "D").otherwise("M")
+    actions = families.paths_to_process(families.diff_by_hash(side("a"), side("b")).select("path", status.alias("status"), F.lit(None).cast("string").alias("old_path")))
+    chunks = table(spark, sf_dir, "chunks").filter("chunk_id IS NOT NULL AND file_path IS NOT NULL AND repo IS NOT NULL").withColumn("file_path", F.concat_ws("/", "repo", "file_path"))
+    return families.carried_over(chunks, actions, "next").select("chunk_id", "version_id").distinct()
+
+
+@query(f"""WITH {_RANKED}, j AS (SELECT query_id, chunk_id FROM qrels GROUP BY ALL) SELECT query_id, signal, chunk_id, score FROM r JOIN j USING (query_id, chunk_id)""")
+def restricted_run(spark, sf_dir):
+    """The results that are among the judged chunks of their query."""
+    allowed = table(spark, sf_dir, "qrels").select("query_id", F.col("chunk_id").alias("doc_id"))
+    run = fusion.reranked(_ranked(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id")
+    return metrics.restricted(run, allowed).select("query_id", "signal", F.col("doc_id").alias("chunk_id"), "score")
+
+
+@query(f"WITH {_RANKED} SELECT DISTINCT chunk_id AS doc_id FROM r WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)")
+def unknown_results(spark, sf_dir):
+    """Results that are no chunk: the fence of a sound run."""
+    run = _ranked(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"))
+    return metrics.unknown_ids(run, table(spark, sf_dir, "chunks").filter("chunk_id IS NOT NULL").select(F.col("chunk_id").alias("doc_id")))
+
+
 # --- extensions ------------------------------------------------------------------------------------------------
 
 

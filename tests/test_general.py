@@ -149,7 +149,7 @@ def test_store_reads_and_deaths(spark, tmp_path, monkeypatch):
             seen[r["key"]] = None if r["change"] == "removed" else r["v"]
 
     attempt()
-    for n, step in enumerate(["_save_tree", "_publish", "_levels"]):
+    for n, step in enumerate(["_save_tree", "publish", "_levels"]):
         put(n + 1, [(200 + n, "new")])
         attempt(step)
         attempt()
