@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +39,46 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (na > 0) & (nb > 0), inner_product(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
+def _places(term: str, dim: int) -> tuple[list[int], list[float]]:
+    """Where a term goes and with which sign, by the digits of its MD5."""
+    digits = hashlib.md5(term.encode("utf-8", "surrogatepass")).hexdigest()
+    at = [int(digits[8 * j : 8 * j + 7], 16) % dim for j in range(PROJECTIONS)]
+    return at, [1.0 if int(digits[8 * j + 7], 16) >= 8 else -1.0 for j in range(PROJECTIONS)]
+
+
+def _embed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    places, signs = np.zeros((1024, PROJECTIONS), dtype=np.int64), np.zeros((1024, PROJECTIONS))
+    for b in batches:
+        terms = b.column(1)
+        lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+        coded = terms.flatten().dictionary_encode()
+        ids = np.zeros(len(coded.dictionary), dtype=np.int64)
+        for n, t in enumerate(coded.dictionary.to_pylist()):
+            at = known.get(t)
+            if at is None:
+                if len(known) >= 1_000_000:
+                    known.clear()
+                at = known[t] = len(known)
+                if at >= len(places):
+                    places, signs = np.concatenate([places, places]), np.concatenate([signs, signs])
+                places[at], signs[at] = _places(t, dim)
+            ids[n] = at
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        pair, tf = np.unique(row * len(places) + ids[coded.indices.to_numpy()] if len(row) else np.zeros(0, np.int64), return_counts=True)
+        r, t = pair // len(places), pair % len(places)
+        weight = signs[t] * (1 + np.log(tf))[:, None]
+        out = np.bincount((r[:, None] * dim + places[t]).ravel(), weights=weight.ravel(), minlength=len(lengths) * dim)
+        offsets = pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * dim)
+        yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(out, type=pa.float64()))], names=[b.schema[0].name, "raw"])
+
+
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """``key, vec``: signed feature hashing of terms, PROJECTIONS places a term, weight ``1 + ln(tf)``, unit length.
 
-    Places come from the digits of MD5, so other engines can repeat them. A text without terms is the first unit vector.
+    Places come from the digits of MD5, so other engines can repeat them. A text without terms is the first unit vector. A row is
+    one text: nothing is shuffled, and a repeated row has its vector again.
     """
-    tf = rows.select(key, F.explode(hash_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    place = lambda j: F.conv(F.substring(F.md5("term"), 8 * j + 1, 7), 16, 10).cast("bigint")
-    sign = lambda j: F.when(F.conv(F.substring(F.md5("term"), 8 * j + 8, 1), 16, 10).cast("int") >= 8, F.lit(1.0)).otherwise(F.lit(-1.0))
-    spots = F.array(*[F.struct((place(j) % dim).cast("int").alias("i"), (sign(j) * (1 + F.ln("tf"))).alias("w")) for j in range(PROJECTIONS)])
-    sums = tf.select(key, F.explode(spots).alias("s")).groupBy(key, F.col("s.i").alias("i")).agg(F.sum("s.w").alias("w"))
-    dense = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    keys = rows.select(key).distinct()
-    empty = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.lit(0.0))
-    return keys.join(dense.select(key, vec.alias("v")), key, "left").select(key, l2_normalise(F.coalesce("v", empty)).alias("vec"))
+    kind = dict(rows.dtypes)[key]
+    raw = rows.select(F.col(key), hash_terms(F.col(text)).alias("terms")).mapInArrow(partial(_embed, dim=dim), f"`{key}` {kind}, raw array<double>")
+    return raw.select(key, l2_normalise(F.col("raw")).alias("vec"))

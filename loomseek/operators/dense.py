@@ -7,8 +7,11 @@ from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomseek.operators.ranks import top_ranked
 
@@ -78,30 +81,43 @@ class _Best:
         return self.q[0], self.s[0], self.ids[0]
 
 
-def _local(batches: Iterator[pd.DataFrame], shared, k: int | None, least: float) -> Iterator[pd.DataFrame]:
+def _matrix(vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of dimension ``dim``, and their vectors; vectors of another dimension cannot be compared."""
+    fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vecs), dim), False).to_numpy(zero_copy_only=False))
+    values = vecs.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return fits, values.reshape(len(fits), dim)
+
+
+def _local(batches: Iterator[pa.RecordBatch], shared, k: int | None, least: float, id_type: pa.DataType, query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     names, matrix = shared.value
     best = _Best(len(names), k) if k is not None else None
-    for pdf in batches:
-        pdf = pdf[pdf["vec"].map(len) == matrix.shape[1]]  # vectors of another dimension cannot be compared
-        for a in range(0, len(pdf), ROWS):
-            part = pdf.iloc[a : a + ROWS]
-            ids, v = part["id"].to_numpy(), np.stack(part["vec"].to_numpy()).astype(np.float64)
+
+    def batch(q: np.ndarray, ids, s: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(names[q].tolist(), type=query_type), pa.array(list(ids), type=id_type), pa.array(s, type=pa.float64())], names=["query_id", "id", "score"])
+
+    for b in batches:
+        rows, every = _matrix(b.column(1), matrix.shape[1])
+        for a in range(0, len(rows), ROWS):
+            v, these = every[a : a + ROWS], rows[a : a + ROWS]
             for c in range(0, len(names), COLUMNS):
                 scores = v @ matrix[c : c + COLUMNS].T
                 rounded = np.round(scores, 9)
                 if best is None:
                     at, q = np.nonzero(scores >= least)
-                    yield pd.DataFrame({"query_id": names[q + c], "id": ids[at], "score": scores[at, q]})
+                    if len(at):
+                        yield batch(q + c, b.column(0).take(pa.array(these[at])).to_pylist(), scores[at, q])
                     continue
                 bar = best.least[c : c + COLUMNS]
                 if len(v) > k:
                     bar = np.maximum(bar, np.partition(rounded, len(v) - k, axis=0)[len(v) - k])
                 at, q = np.nonzero((rounded >= bar) & (scores >= least))
-                best.add(q + c, rounded[at, q], ids[at])
+                ids = np.empty(len(at), dtype=object)
+                ids[:] = b.column(0).take(pa.array(these[at])).to_pylist()
+                best.add(q + c, rounded[at, q], ids)
     if best is not None:
         q, s, ids = best.cut()
         for a in range(0, len(q), 100_000):
-            yield pd.DataFrame({"query_id": names[q[a : a + 100_000]], "id": ids[a : a + 100_000], "score": s[a : a + 100_000]})
+            yield batch(q[a : a + 100_000], ids[a : a + 100_000], s[a : a + 100_000])
 
 
 def dense_scores(vectors: DataFrame, queries: DataFrame, k: int | None, least: float = float("-inf")) -> DataFrame:
@@ -113,6 +129,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int | None, least: f
     rows = vectors.filter(F.col("vec").isNotNull() & F.col("id").isNotNull()).select("id", "vec")
     qs = queries.filter(F.col("vec").isNotNull() & F.col("query_id").isNotNull()).select("query_id", "vec").dropDuplicates(["query_id"])
     schema = f"query_id {dict(qs.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
+    arrow = {f.name: to_arrow_type(f.dataType) for f in (rows.schema["id"], qs.schema["query_id"])}
     sizes = qs.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a dimension
     out = [rows.sparkSession.createDataFrame([], schema)]
     for r in sorted(sizes):
@@ -123,7 +140,7 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, k: int | None, least: f
                 names = np.empty(len(block), dtype=object)
                 names[:] = [x["query_id"] for x in block]
                 shared = rows.sparkSession.sparkContext.broadcast((names, np.array([x["vec"] for x in block], dtype=np.float64).reshape(len(block), r["dim"])))
-                out.append(rows.mapInPandas(partial(_local, shared=shared, k=k, least=least), schema))
+                out.append(rows.mapInArrow(partial(_local, shared=shared, k=k, least=least, id_type=arrow["id"], query_type=arrow["query_id"]), schema))
     found = reduce(DataFrame.unionByName, out[1:] or out)
     return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 

@@ -6,6 +6,8 @@ the symbols whose id is. Both are searched against all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from loomseek.operators.chunking import chunk_files as cut_files
 from loomseek.operators.lineage import nearest_ancestor
 from loomseek.plans import pipeline, planner
 from loomseek.plans.reindex import file_hashes, reindex
-from loomseek.session import staged, table
+from loomseek.session import shared_dir, staged, table
 from loomseek.settings import DEFAULT
+from loomseek.sources.generations import Generations
 from loomseek.streaming import ingest
 
 Q: dict = {}
@@ -655,8 +658,30 @@ def optimization_hints(spark, sf_dir):
     return table(spark, sf_dir, "chunks").select("chunk_id", pipeline.optimization_hint(F.col("text")).alias("hint")).filter("hint IS NOT NULL").distinct()
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _build_index(spark, sf_dir) -> str:
+    """Builds and writes the index of the chunks, once more whenever it is called."""
+    path = _INDEXES.get((spark.sparkContext.applicationId, sf_dir)) or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    pipeline.Index.build(table(spark, sf_dir, "chunks"), *_graph(spark, sf_dir)).write(spark, path)
+    _INDEXES[spark.sparkContext.applicationId, sf_dir] = path
+    return path
+
+
 def _chunk_index(spark, sf_dir):
-    return pipeline.Index.build(table(spark, sf_dir, "chunks"), *_graph(spark, sf_dir))
+    """The index of the chunks, opened; built by the first query of the session that asks for it."""
+    path = _INDEXES.get((spark.sparkContext.applicationId, sf_dir)) or _build_index(spark, sf_dir)
+    return pipeline.Index.open(spark, path)
+
+
+@query("""WITH one AS (SELECT chunk_id, content_hash FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL)
+SELECT count(DISTINCT chunk_id) AS chunk_count, count(DISTINCT content_hash) AS contents, 64 AS dim, count(DISTINCT chunk_id) AS vectors, 'hash-64' AS model_id, 'flat' AS index_kind FROM one""")
+def index_build(spark, sf_dir):
+    """The index of all chunks, built and written; its manifest."""
+    path = _build_index(spark, sf_dir)
+    store = Generations(spark, path)
+    return spark.read.parquet(store.at(store.generation(), "manifest")).drop("built_at")
 
 
 @query()
