@@ -12,6 +12,9 @@ import json
 import re
 import sys
 import warnings
+from collections import Counter
+
+from loomseek.operators.definitions import template_end
 
 #: Frames that a nested program may take: about ten a level.
 DEPTH = 100_000
@@ -56,7 +59,6 @@ def _template(depth: int) -> str:
     return rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\$\{{{inner}\}})*`"
 
 
-_TEMPLATE_RE = re.compile(_template(2))
 _TOKEN = re.compile(
     r"[^\S\n  ]*("
     r"\n\s*|//[^\n]*|/\*[\s\S]*?\*/"
@@ -118,8 +120,13 @@ def _substitutions(token: str, ts: bool) -> bool:
             depth, to = 1, at + 2
             while to < end and depth:
                 c = token[to]
-                if c in "'\"`":
-                    m = (_TEMPLATE_RE if c == "`" else _STRING_RE).match(token, to)
+                if c == "`":
+                    to = template_end(token, to)
+                    if to < 0:
+                        return False
+                    continue
+                if c in "'\"":
+                    m = _STRING_RE.match(token, to)
                     if not m:
                         return False
                     to = m.end()
@@ -134,13 +141,31 @@ def _substitutions(token: str, ts: bool) -> bool:
     return True
 
 
+def _tokens(text: str) -> list[str]:
+    """All tokens. A template nested deeper than the pattern leaves a lone back quote; then templates end where a stack says."""
+    found = _TOKEN.findall(text)
+    if "`" not in found:
+        return found
+    out, at = [], 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        end = template_end(text, m.start(1)) if m.group(1) == "`" else -1
+        out.append(text[m.start(1) : end] if end > 0 else m.group(1))
+        at = end if end > 0 else m.end()
+    return out
+
+
 _STRING_RE = re.compile(_STR)
+_LAST: list = [None, []]
 _CLASSES = {False: _Classes(False), True: _Classes(True)}
 _EXPRESSIONS: dict[tuple[str, bool], bool] = {}
 
 
 def _shape(text: str, ts: bool) -> str:
-    return "".join(map(_CLASSES[ts].__getitem__, _TOKEN.findall(text)))
+    # the grammars of one file share its tokens
+    if _LAST[0] != text:
+        _LAST[:] = [text, _tokens(text)]
+    return "".join(map(_CLASSES[ts].__getitem__, _LAST[1]))
 
 
 def _expression_text(text: str, ts: bool) -> bool:
@@ -1477,17 +1502,18 @@ def valid(language: str, text: str) -> bool:
     return GRAMMARS[language](text)
 
 
-# Tokens that speak for a language.
+# Tokens that speak for a language, and how much.
 _SIGNS = {
-    "javascript": re.compile(r"\b(?:function|const|let|var|=>|require\(|module\.exports|===|undefined|null)\b|[;{}]\n"),
-    "typescript": re.compile(r"\b(?:interface|enum|readonly|implements|namespace|declare)\b|: (?:string|number|boolean|any|unknown|void)\b|\bas \w"),
-    "python": re.compile(r"^\s*(?:def|elif|except|with|from|import|class|return) |:\n|\bNone\b|\bself\b", re.M),
-    "json": re.compile(r'^\s*"[^"\n]*": |^\s*[{}\[\]],?$', re.M),
+    "javascript": {"function": 1, "const": 1, "let": 1, "var": 1, "require": 1, "module": 1, "undefined": 1, "null": 1, "=>": 1, "===": 1, ";\n": 1, "{\n": 1, "}\n": 1},
+    "typescript": {"interface": 3, "enum": 3, "readonly": 3, "implements": 3, "namespace": 3, "declare": 3, "string": 3, "number": 3, "boolean": 3, "any": 3, "unknown": 3, "void": 3, "function": 0.5, "const": 0.5, "let": 0.5, "=>": 0.5, ";\n": 0.5, "{\n": 0.5, "}\n": 0.5},
+    "python": {"def": 2, "elif": 2, "except": 2, "with": 1, "from": 1, "import": 1, "class": 1, "None": 2, "self": 2, ":\n": 2},
+    "json": {'":': 1, "[\n": 1, ",\n": 0.3, "{\n": 0.3},
 }
+_SIGN = re.compile(r'[A-Za-z_]+|=>|===|":|[;{}:\[,]\n')
 
 
 def ranked(text: str) -> list[str]:
     """All languages, those whose tokens are most frequent first."""
-    n = {k: len(p.findall(text)) for k, p in _SIGNS.items()}
-    n["typescript"] = 3 * n["typescript"] + n["javascript"] // 2
-    return sorted(n, key=lambda k: (-n[k], k))
+    n = Counter(_SIGN.findall(text))
+    score = {language: sum(weight * n[sign] for sign, weight in signs.items()) for language, signs in _SIGNS.items()}
+    return sorted(score, key=lambda k: (-score[k], k))

@@ -402,6 +402,18 @@ def test_python(text, want):
     assert grammars.valid("python", text) == want
 
 
+def test_deep_templates():
+    deep = "const a = `${xs.map(x => { if (x) { for (const y of x) { f(`${y ? `n${`d${`e${1}`}`}`:''}`); } } return x; })}`;"
+    assert grammars.valid("javascript", deep) and not grammars.valid("javascript", deep[:-2]) and not grammars.valid("javascript", deep.replace("f(", "f((", 1))
+
+
+def test_verdicts():
+    assert syntax.verdict("javascript", "let a = 1;")[::3] == (True, ["javascript", "typescript"])
+    assert syntax.verdict("javascript", "interface A { b: string }\n")[1:3] == ("wrong extension", "typescript")
+    assert syntax.verdict("typescript", "def f(self):\n    return None\n")[1:3] == ("wrong extension", "python")
+    assert syntax.verdict("python", '{"a": null,\n "b": [1, 2]}')[:3] == (True, "valid", "python") and syntax.verdict("json", "x = (")[1] == "corrupt"
+
+
 def test_parsed_files(spark):
     files = [("r", "a.js", "let a = 1;"), ("r", "b.js", "def f(x):\n    return None\n"), ("r", "c.py", "x = ("), ("r", "d.json", "{}"), ("r", "e.txt", "?"), ("r", "f.js", None), (None, "g.ts", "let a: number;"), ("r", "a.js", "let a = 1;"), ("r", "h.mjs", "x;" * 200000), ("r", "not-a-symbol.js", "(")]
     f = spark.createDataFrame([(*x, "c", True) for x in files], "repo string, file_path string, content string, language string, valid boolean")
