@@ -41,7 +41,7 @@ class Definition:
     members: list[Definition] = field(default_factory=list)
 
 
-def _template_end(text: str, at: int) -> int:
+def template_end(text: str, at: int) -> int:
     """The end of the template literal that begins at ``at``, whatever is nested in it; -1 if it has none."""
     stack, i = ["`"], at + 1
     while i < len(text) and stack:
@@ -72,7 +72,7 @@ def tokens(text: str) -> list[Token] | None:
     while at < len(text):
         c = text[at]
         if c == "`":
-            end = _template_end(text, at)
+            end = template_end(text, at)
             if end < 0:
                 return None
         else:
