@@ -445,3 +445,145 @@ def test_refined_plans_differ(spark):
     got = {x["query_id"]: x for x in r.collect()}
     assert got["a"]["sub_queries"] == ["fetchUser"] and got["b"]["sub_queries"] == []
     assert {x["query_id"]: x["differs"] for x in planner.plans_differ(p, r).collect()}["a"]
+
+
+# --- definitions, answers, indexes ------------------------------------------------------------------------------
+
+
+def test_definitions_have_kinds_and_parents():
+    text = """import {a} from './a.js';
+// greets
+export class Greeter extends Base {
+  constructor(name) { super(); this.name = name; this.items = new Map(); this.count = 0; }
+  async hello(x, y = {a: 1}) { const t = `x ${x ? `n ${y}` : '}'} /`; return /[/}]/.test(t) ? this.say(t, x, y) : null; }
+  say = (t) => { console.log(t, this.name, this.count + 1, 'this is what is said'); return t.length; };
+}
+const util = async (q) => { function inner(z) { return z + q + call(z, q, other(z), more(q)); } return inner(q) + 1; };
+export { util };
+"""
+    got = [(c["kind"], c["symbol"], c["parent_symbol"], c["is_exported"]) for c in chunking.chunk_text(text, "x.ts")]
+    assert ("class", "Greeter", None, True) in got and ("method", "hello", "Greeter", False) in got and ("method", "say", "Greeter", False) in got
+    assert ("function", "util", None, True) in got and ("function", "inner", "util", False) in got
+    assert next(c for c in chunking.chunk_text(text, "x.ts") if c["symbol"] == "Greeter")["docstring"] == "greets"
+    # brackets that do not match: by lines; no definition at all: one module
+    broken = chunking.chunk_text(text + "function half(a) {\n  return work(a, a, a, a, a, a, a, a, a, a);\n", "x.ts")
+    assert {c["kind"] for c in broken} == {"block"} and "half" in {c["symbol"] for c in broken}
+    assert [c["kind"] for c in chunking.chunk_text("a = 1;\nb = 2;\n", "x.js")] == ["module"]
+
+
+def test_large_definitions_are_split():
+    body = "".join(f"  work{i}(alpha, beta, gamma, delta);\n" for i in range(300))
+    big = chunking.chunk_text("function big(a) {\n" + body + "}\n", "x.js")
+    assert [c["symbol"] for c in big] == [f"big#{n}" for n in range(1, len(big) + 1)] and {c["parent_symbol"] for c in big} == {"big"} and len(big) > 2
+    assert all(chunking.token_cost(c["text"]) <= chunking.TARGET_TOKENS for c in big)
+    methods = "".join(f"  /* about {i} */\n  m{i}(x) {{\n    return this.f(x, {i}, alpha, beta, gamma, delta, epsilon);\n  }}\n" for i in range(80))
+    text = "class Wide {\n  field = 1;\n" + methods + "}\n"
+    wide = chunking.chunk_text(text, "x.js")
+    covered = set()
+    for c in wide:
+        covered |= set(range(c["start_byte"], c["end_byte"]))
+    assert all(text[i].isspace() for i in set(range(len(text))) - covered) and wide[0]["kind"] == "class"
+    many = chunking.chunk_text("".join(f"function f{i}(a, b) {{\n  return call{i}(a, b, a + b, a * b, {i});\n}}\n" for i in range(2500)), "x.js")
+    assert len(many) == 2500  # no file has too many chunks
+
+
+def test_definition_lines():
+    for line, want in [("export default async function* go(a) {", "go"), ("class A extends B {", "A"), ("export const f = async (x) => {", "f"), ("  run(a, b) {", "run"), ("let g = y => y", "g"), ("function (", None)]:
+        assert chunking.definition_of_line(line) == (True, want), line
+    for line in ("if (a) {", "const a = 1;", "call(a, b);", "x.y(a) {", "functional(a);", "return function () {"):
+        assert not chunking.definition_of_line(line)[0], line
+
+
+CODE = [
+    ("r", "v1", "c1", "h1", "export function parseToken(x) { return readStream(x); }", "src/parse.js", 1, 9, 0, 60, "parseToken", "function", None, True, ["./read.js", "lodash"], ["readStream", "", "util.trim"], "javascript"),
+    ("r", "v1", "c2", "h2", "function readStream(x) { return x.length; }", "src/read.js", 1, 3, 0, 40, "readStream", "function", None, False, [], [], "javascript"),
+    ("r", "v1", "c3", "h3", "const banner = 'nothing here about anything';", "src/banner.js", 1, 1, 0, 40, None, "module", None, False, ["../up/gone.js"], None, "javascript"),
+]
+CHUNKS = "repo string, version_id string, chunk_id string, content_hash string, text string, file_path string, start_line int, end_line int, start_byte int, end_byte int, symbol string, kind string, parent_symbol string, is_exported boolean, imports array<string>, calls array<string>, language string"
+
+
+def test_relations_from_chunks(spark):
+    from loomseek.operators import graph
+
+    symbols, calls, imports, exports = graph.relations_of(spark.createDataFrame(CODE + CODE[:1], CHUNKS))
+    ids = {r["chunk_id"]: r["symbol_id"] for r in symbols.collect()}
+    assert len(ids) == 3 and len(set(ids.values())) == 3
+    assert rows(calls, "callee_name", "call_order", "is_method", "receiver") == [("readStream", 0, False, None), ("trim", 2, True, "util")]
+    assert {r["callee_id"] for r in calls.collect()} == {ids["c2"], None}
+    assert rows(imports, "module_spec", "resolved_path") == [("../up/gone.js", None), ("./read.js", "src/read.js"), ("lodash", None)]
+    assert rows(exports, "exported_name", "symbol_id") == [("parseToken", ids["c1"])]
+    empty = graph.relations_of(spark.createDataFrame([], CHUNKS))
+    assert [d.count() for d in empty] == [0, 0, 0, 0]
+
+
+def test_answers_and_their_reasons(spark, tmp_path, monkeypatch):
+    from loomseek.api import Engine, QueryError, format_ranked_lines
+    from loomseek.plans import pipeline
+
+    index = pipeline.Index.build(spark.createDataFrame(CODE, CHUNKS))
+    index.write(spark, str(tmp_path / "i"))
+    with pytest.raises(LookupError):
+        pipeline.Index.open(spark, str(tmp_path / "none"))
+    index = pipeline.Index.open(spark, str(tmp_path / "i"))
+    queries = spark.createDataFrame([("a", "which files call readStream"), ("b", "  "), ("c", None)], "query_id string, text string")
+    got = pipeline.answer(index, queries)
+    assert rows(got.outcome, "query_id", "passes", "stop_reason") == [("a", 1, "sufficient"), ("b", 0, "empty_query"), ("c", 0, "empty_query")]
+    best = got.results.filter("query_id = 'a'").collect()
+    assert any(r["reason"] and "calls readStream" in r["reason"] for r in best) and {"plan", "pass 1", "total"} <= set(got.timings)
+
+    low = lambda q, d: d.map(lambda _: -9.0)
+    again = pipeline.answer(index, queries.filter("query_id = 'a'"), scorer=low)
+    assert rows(again.outcome, "passes", "winning_pass", "stop_reason") == [(2, 1, "max_passes")]
+    assert rows(pipeline.answer(index, queries.filter("query_id = 'a'"), scorer=low, seconds=0.0).outcome, "passes", "stop_reason") == [(1, "budget_exhausted")]
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "refine_plans", lambda plans, counts, settings: plans)
+        assert rows(pipeline.answer(index, queries.filter("query_id = 'a'"), scorer=low).outcome, "passes", "stop_reason") == [(1, "no_new_query")]
+    with monkeypatch.context() as m:
+        real, calls = pipeline.one_pass, []
+
+        def failing(*a, **k):
+            calls.append(1)
+            if len(calls) > 1:
+                raise RuntimeError("lost")
+            return real(*a, **k)
+
+        m.setattr(pipeline, "one_pass", failing)
+        failed = pipeline.answer(index, queries.filter("query_id = 'a'"), scorer=low)
+        assert rows(failed.outcome, "passes", "stop_reason") == [(1, "pass_failed")] and failed.degradations and failed.results.count() > 0
+
+    engine = Engine.over(index)
+    reply = engine.ask("which files call readStream").envelope()
+    assert reply["stop_reason"] == "sufficient" and reply["score_field"] == "rerank_score" and reply["plan"]["query_type"] == "structural"
+    assert any("calls readStream" in r["match_reason"] for r in reply["results"])
+    assert format_ranked_lines(engine.query("readStream"))[0].startswith("  1. ")
+    for bad in ("", "   "):
+        with pytest.raises(QueryError):
+            engine.ask(bad)
+    with pytest.raises(QueryError):
+        engine.query("x", top_k=0)
+
+
+def test_several_versions_are_asked_at_once(spark):
+    from loomseek.api import Engine, by_family
+
+    newer = [(r[0], "v2", r[2] + "n", r[3], *r[4:]) for r in CODE]
+    engine = Engine(spark.createDataFrame(CODE + newer, CHUNKS), versions=["v1", "v2"])
+    found = engine.query("readStream")
+    assert {r["chunk_id"] for r in found.collect()} >= {"c1", "c2", "c1n", "c2n"}
+    fam = spark.createDataFrame([(c, c[:2], ["v1", "v2"], 1.0) for c in ("c1", "c2", "c1n", "c2n")], "chunk_id string, family_id string, versions array<string>, stability double")
+    one = by_family(found, fam).collect()
+    assert len({r["family_id"] for r in one}) == len(one) and any(len(r["members"]) == 2 for r in one)
+    vectors = engine.index["v1"].vectors.limit(0).select(F.lit("h").alias("content_hash"), "vec")
+    reports = spark.createDataFrame([("r", "v1", 1), ("r", "v2", 2)], "repo string, version_id string, started_at int")
+    page, total = engine.families(reports, vectors, limit=2)
+    assert page.count() == 2 and total == 6
+
+
+def test_search_keeps_ties_by_id(spark):
+    from loomseek.operators import dense
+
+    df = spark.createDataFrame([(f"d{i:03d}", [1.0, 0.0] if i % 2 else [0.5, 0.5]) for i in range(300)] + [("d001", [1.0, 0.0]), (None, [1.0, 0.0]), ("x", None), ("y", [1.0])], "id string, vec array<double>").repartition(3)
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("p", [0.0, 1.0]), ("o", [1.0])], "query_id string, vec array<double>")
+    got = rows(dense.dense_topk(df, q, 5), "query_id", "rank", "id")
+    assert [g[2] for g in got if g[0] == "q"] == ["d001", "d003", "d005", "d007", "d009"] and [g[2] for g in got if g[0] == "p"] == ["d000", "d002", "d004", "d006", "d008"]
+    assert [g[2] for g in got if g[0] == "o"] == ["y"]
