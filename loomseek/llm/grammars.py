@@ -162,10 +162,11 @@ _EXPRESSIONS: dict[tuple[str, bool], bool] = {}
 
 
 def _shape(text: str, ts: bool) -> str:
-    # the grammars of one file share its tokens
-    if _LAST[0] != text:
-        _LAST[:] = [text, _tokens(text)]
-    return "".join(map(_CLASSES[ts].__getitem__, _LAST[1]))
+    found = _LAST[1] if _LAST[0] is text else _tokens(text)
+    shape = "".join(map(_CLASSES[ts].__getitem__, found))
+    # the grammars of one file share its tokens; set last, as templates bring texts of their own
+    _LAST[:] = [text, found]
+    return shape
 
 
 def _expression_text(text: str, ts: bool) -> bool:
