@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseek import errors
+from loomseek.errors import NotFound, QueryError
 from loomseek.functions.text import family_id
 from loomseek.functions.vector import hash_embed
 from loomseek.operators.families import build_families, collapse, family_table, newest_first, stability_bonus
@@ -20,14 +22,6 @@ from loomseek.settings import DEFAULT, Settings
 QUERY_SECONDS = 5.0
 
 
-class QueryError(ValueError):
-    """A request that cannot be answered; ``code`` says why."""
-
-    def __init__(self, code: str, message: str):
-        super().__init__(message)
-        self.code = code
-
-
 @dataclass
 class Reply:
     """Results and what is to be known of them."""
@@ -89,7 +83,7 @@ class Engine:
     def ask(self, text: str, top_k: int | None = None, refine: bool = True) -> Reply:
         """One query with all that is to be known of its answer."""
         if not text or not text.strip():
-            raise QueryError("empty_query", "the query is blank")
+            raise QueryError(errors.VALIDATION_ERROR, "the query is blank")
         return self.reply(self.spark.createDataFrame([("0", text)], "query_id string, text string"), top_k, refine, QUERY_SECONDS)
 
     def query_table(self, queries: DataFrame, top_k: int | None = None, refine: bool = True) -> DataFrame:
@@ -100,7 +94,7 @@ class Engine:
         s = self.settings
         if top_k is not None:
             if not 1 <= top_k <= s.fusion_top_n:
-                raise QueryError("invalid_top_k", f"top_k must be from 1 to {s.fusion_top_n}")
+                raise QueryError(errors.VALIDATION_ERROR, f"top_k must be from 1 to {s.fusion_top_n}")
             s = replace(s, top_k=top_k)
         got = answer(self.index, queries, s, self.scorer, seconds, refine)
         about = all_chunks(self.index).select("chunk_id", "file_path", "kind", "symbol", "text")
@@ -128,6 +122,13 @@ class Engine:
     def chunk(self, version_id: str, chunk_id: str) -> DataFrame:
         return self.all_chunks.filter((F.col("version_id") == version_id) & (F.col("chunk_id") == chunk_id))
 
+    def chunk_row(self, version_id: str, chunk_id: str) -> dict:
+        """The chunk as plain values; an unknown one is an error."""
+        found = self.chunk(version_id, chunk_id).first()
+        if found is None:
+            raise NotFound(errors.CHUNK_NOT_FOUND, f"no chunk {chunk_id} in {version_id}")
+        return found.asDict(True)
+
 
 def by_family(results: DataFrame, families: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Results with the bonus of their family, best one of each family, ranked anew, with ``members``: the family's results.
@@ -144,4 +145,4 @@ def by_family(results: DataFrame, families: DataFrame, settings: Settings = DEFA
     return top_ranked(f.drop("rank").join(kept, ["query_id", "family_id", "chunk_id"]), settings.top_k, ["query_id"])
 
 
-__all__ = ["Engine", "QueryError", "Reply", "by_family", "family_id", "format_ranked_lines"]
+__all__ = ["Engine", "NotFound", "QueryError", "Reply", "by_family", "family_id", "format_ranked_lines"]

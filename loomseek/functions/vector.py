@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -82,3 +82,17 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame
     kind = dict(rows.dtypes)[key]
     raw = rows.select(F.col(key), hash_terms(F.col(text)).alias("terms")).mapInArrow(partial(_embed, dim=dim), f"`{key}` {kind}, raw array<double>")
     return raw.select(key, l2_normalise(F.col("raw")).alias("vec"))
+
+
+# Fixed value: the envelope of a query for encoders that are trained on instructions.
+INSTRUCTION = "Instruct: {task}\nQuery:{query}"
+
+
+def with_instruction(embed: Callable[[DataFrame, str, str], DataFrame], task: str) -> Callable[[DataFrame, str, str], DataFrame]:
+    """``embed`` for queries: their texts in the envelope of a task. Contents are embedded without it."""
+    head, tail = INSTRUCTION.format(task=task, query="\x00").split("\x00")
+
+    def wrapped(rows: DataFrame, key: str, text: str) -> DataFrame:
+        return embed(rows.withColumn(text, F.concat(F.lit(head), F.col(text), F.lit(tail))), key, text)
+
+    return wrapped

@@ -23,20 +23,24 @@ def _group(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         n = 0.0 if a is None else float(np.linalg.norm(a))
         unit.append(None if a is None else a / n if n > 0 else np.zeros_like(a))
     groups: list[list[int]] = []
+    versions = pdf["version_id"].tolist()
+    taken: list[set] = []  # the versions of each group
+    sides: list[np.ndarray] = []  # the vectors of each group, one below the other
     for i in range(len(pdf)):
         home = None
         if unit[i] is not None:
-            for g in groups:
-                if all(
-                    pdf.at[j, "version_id"] != pdf.at[i, "version_id"] and unit[j] is not None and len(unit[j]) == len(unit[i]) and round(float(unit[j] @ unit[i]), 12) >= least
-                    for j in g
-                ):
-                    home = g
+            for n, side in enumerate(sides):
+                if side is not None and versions[i] not in taken[n] and side.shape[1] == len(unit[i]) and (np.round(side @ unit[i], 12) >= least).all():
+                    home = n
                     break
         if home is None:
             groups.append([i])
+            taken.append({versions[i]})
+            sides.append(None if unit[i] is None else unit[i][None])
         else:
-            home.append(i)
+            groups[home].append(i)
+            taken[home].add(versions[i])
+            sides[home] = np.vstack([sides[home], unit[i]])
     number = np.empty(len(pdf), dtype=np.int64)
     place = np.empty(len(pdf), dtype=np.int64)
     for n, g in enumerate(groups):
@@ -57,6 +61,13 @@ def build_families(snippets: DataFrame, least: float = DEFAULT.dedupe_cosine) ->
     return rows.groupBy("symbol", "file_path").applyInPandas(lambda pdf: _group(pdf, least), schema)
 
 
+def identity_families(snippets: DataFrame) -> DataFrame:
+    """Without vectors every snippet is a family of its own: the columns of ``build_families``."""
+    rows = snippets.select("symbol", "file_path", "version_id", "chunk_id").distinct()
+    number = F.row_number().over(Window.partitionBy("symbol", "file_path").orderBy("version_id", "chunk_id")) - 1
+    return rows.withColumn("family_no", number.cast("bigint")).withColumn("member_no", F.lit(0).cast("bigint"))
+
+
 def family_table(members: DataFrame, total_versions: int) -> DataFrame:
     """One row per family: id, representative, members and versions newest first, stability."""
     keyed = members.withColumn("family_id", family_id(F.col("symbol"), F.col("file_path")))

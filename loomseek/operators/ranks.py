@@ -17,6 +17,12 @@ def top_ranked(scored: DataFrame, k: int, by: list[str], key: str = "chunk_id",
     return clean.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn(score, F.col("_s")).drop("_s")
 
 
+def global_top(scored: DataFrame, k: int, key: str = "chunk_id", score: str = "score", digits: int = 9) -> DataFrame:
+    """The ``k`` best rows of all, by falling score and rising ``key``: each partition keeps ``k``, no window is needed."""
+    clean = scored.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumn(score, F.round(score, digits))
+    return clean.orderBy(F.desc(score), key).limit(k)
+
+
 def canonical_chunks(chunks: DataFrame) -> DataFrame:
     """One row per chunk id and version, the first in the order of path, span, kind and symbol."""
     order = Window.partitionBy("repo", "version_id", "chunk_id").orderBy("file_path", "start_line", "start_byte", "end_byte", F.coalesce("kind", F.lit("")), F.coalesce("symbol", F.lit("")))

@@ -41,10 +41,11 @@ def _head(document: str, longest: int | None) -> Column:
 
 
 def lexical_rerank(pairs: DataFrame, query: str = "query_text", document: str = "text", longest: int | None = None) -> DataFrame:
-    """``pairs`` with ``rerank_score`` over whole documents; ``longest`` is the reference's cut, in characters."""
+    """``pairs`` with ``rerank_score`` over whole documents; ``longest`` is the reference's cut, in characters, and ``truncated`` says where it cut."""
     terms = pairs.withColumn("_q", lexical_terms(F.col(query))).withColumn("_d", lexical_terms(_head(document, longest)))
     scored = terms.withColumn("_sim", lexical_similarity(F.col("_q"), F.col("_d")))
-    return scored.withColumn("rerank_score", F.round(sigmoid(F.lit(SPAN) * (2 * F.col("_sim") - 1)), 9)).drop("_q", "_d", "_sim")
+    scored = scored.withColumn("rerank_score", F.round(sigmoid(F.lit(SPAN) * (2 * F.col("_sim") - 1)), 9)).drop("_q", "_d", "_sim")
+    return scored if longest is None else scored.withColumn("truncated", F.coalesce(F.length(document) > longest, F.lit(False)))
 
 
 def model_rerank(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], query: str = "query_text", document: str = "text", by: str = "query_id", longest: int | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseek import errors
+from loomseek.errors import NotFound
 from loomseek.functions.text import code_terms, terms_or_words
 from loomseek.functions.vector import hash_embed
 from loomseek.operators.dense import dense_topk
@@ -21,7 +23,7 @@ from loomseek.session import staged
 from loomseek.settings import DEFAULT, Settings
 from loomseek.sources.generations import Generations
 
-#: ``embed(rows, key, text)`` gives ``key, vec``; the same for contents and, with ``query=True`` where it takes that, for queries.
+#: ``embed(rows, key, text)`` gives ``key, vec``.
 Embed = Callable[[DataFrame, str, str], DataFrame]
 _TABLES = ("chunks", "vectors", "symbols", "calls", "imports", "exports")
 
@@ -38,6 +40,8 @@ class Index:
     imports: DataFrame
     exports: DataFrame
     embed: Embed = hash_embed
+    #: How queries are embedded, where that differs from contents: see ``vector.with_instruction``.
+    embed_query: Embed | None = None
 
     @staticmethod
     def build(chunks: DataFrame, symbols: DataFrame | None = None, calls: DataFrame | None = None, imports: DataFrame | None = None, exports: DataFrame | None = None, embed: Embed = hash_embed) -> Index:
@@ -76,7 +80,7 @@ class Index:
         store = Generations(spark, path)
         g = generation or store.generation()
         if g is None:
-            raise LookupError(f"no index at {path}")
+            raise NotFound(errors.INDEX_UNAVAILABLE, f"no index at {path}")
         t = {name: spark.read.parquet(store.at(g, name)) for name in _TABLES}
         return Index(t["chunks"], t["vectors"], SparseIndex.read(spark, store.at(g, "sparse")), t["symbols"], t["calls"], t["imports"], t["exports"], embed)
 
@@ -90,7 +94,7 @@ def _lists(index: Index, plans: DataFrame, settings: Settings) -> DataFrame:
     out = []
     named = lambda d, name: d.withColumnsRenamed({"query_id": "sub_id", "id": "chunk_id"}).join(of_sub, "sub_id").select("query_id", F.lit(name).alias("signal"), F.col("list_id").cast("string").alias("list_id"), "chunk_id", "score", "rank", none.alias("reason"))
     if "dense" in used:
-        vec = staged(index.embed(subs, "sub_id", "text")).withColumnRenamed("sub_id", "query_id")
+        vec = staged((index.embed_query or index.embed)(subs, "sub_id", "text")).withColumnRenamed("sub_id", "query_id")
         out.append(named(dense_topk(index.vectors, vec, settings.dense_width), "dense"))
     if "sparse" in used:
         words = subs.join(plans.select("query_id", F.concat(F.col("identifiers"), F.col("expansion_terms")).alias("more")), "query_id")

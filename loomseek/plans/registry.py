@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomseek import errors
+from loomseek.errors import NotFound
 from loomseek.operators.families import unreferenced_blobs
 
-SCHEMA = "version_id string, parent_version string, event string, chunk_count bigint, model_id string, at timestamp"
+SCHEMA = "version_id string, parent_version string, event string, chunk_count bigint, model_id string, seq bigint, at timestamp"
 
 
 class Registry:
@@ -28,7 +30,9 @@ class Registry:
 
     def _append(self, version_id: str, event: str, parent: str | None = None, chunk_count: int | None = None, model_id: str | None = None) -> None:
         row = self.spark.createDataFrame([(version_id, parent, event, chunk_count, model_id)], "version_id string, parent_version string, event string, chunk_count bigint, model_id string")
-        row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.path)
+        # the number orders events that fall into one tick of the clock; there is one writer at a time
+        seq = self._events().agg(F.max("seq")).first()[0]
+        row.withColumn("seq", F.lit((seq or 0) + 1).cast("bigint")).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.path)
 
     def publish(self, version_id: str, chunks: DataFrame, parent: str | None = None, model_id: str | None = None) -> None:
         """Makes a version visible; its chunks must be written already."""
@@ -39,17 +43,17 @@ class Registry:
     def versions(self) -> DataFrame:
         """Published versions that were not removed, newest first: ``version_id, parent_version, chunk_count, model_id, at, active``."""
         e = self._events()
-        last = Window.partitionBy("version_id").orderBy(F.desc("at"))
+        last = Window.partitionBy("version_id").orderBy(F.desc("seq"))
         live = e.filter("event <> 'used'").withColumn("_n", F.row_number().over(last)).filter("_n = 1 AND event = 'published'").drop("_n", "event")
         chosen = self.active()
-        return live.withColumn("active", F.col("version_id") == F.lit(chosen) if chosen else F.lit(False)).orderBy(F.desc("at"), "version_id")
+        return live.withColumn("active", F.col("version_id") == F.lit(chosen) if chosen else F.lit(False)).orderBy(F.desc("seq"), "version_id")
 
     def active(self) -> str | None:
         """The version in use: the last one chosen that is still there, else the newest."""
         e = self._events()
-        removed = Window.partitionBy("version_id").orderBy(F.desc("at"))
-        live = e.filter("event <> 'used'").withColumn("_n", F.row_number().over(removed)).filter("_n = 1 AND event = 'published'").select("version_id", F.col("at").alias("since"))
-        used = e.filter("event = 'used'").join(live, "version_id").orderBy(F.desc("at")).select("version_id").first()
+        removed = Window.partitionBy("version_id").orderBy(F.desc("seq"))
+        live = e.filter("event <> 'used'").withColumn("_n", F.row_number().over(removed)).filter("_n = 1 AND event = 'published'").select("version_id", F.col("seq").alias("since"))
+        used = e.filter("event = 'used'").join(live, "version_id").orderBy(F.desc("seq")).select("version_id").first()
         newest = used or live.orderBy(F.desc("since"), "version_id").select("version_id").first()
         return newest["version_id"] if newest else None
 
@@ -57,7 +61,7 @@ class Registry:
         """The version asked for, else the active one; an unknown one is an error."""
         found = version_id or self.active()
         if found is None or self.versions().filter(F.col("version_id") == found).isEmpty():
-            raise LookupError(f"no such version: {found}")
+            raise NotFound(errors.VERSION_NOT_FOUND, f"no such version: {found}")
         return found
 
     def use(self, version_id: str) -> None:

@@ -792,6 +792,18 @@ def carried_chunks(spark, sf_dir):
     return families.carried_over(chunks, actions, "next").select("chunk_id", "version_id").distinct()
 
 
+@query(f"WITH {_RANKED} SELECT query_id, signal, chunk_id, round(score, 9) AS score FROM r0 WHERE signal = 'sparse' ORDER BY round(score, 9) DESC, chunk_id LIMIT 100")
+def global_top(spark, sf_dir):
+    """The hundred best sparse results of all queries."""
+    return ranks.global_top(fusion.reranked(_ranked(spark, sf_dir)).filter("signal = 'sparse'").drop("rank"), 100).select("query_id", "signal", "chunk_id", "score")
+
+
+@query("SELECT DISTINCT symbol, file_path, version_id, chunk_id, 0 AS member_no FROM chunks")
+def identity_families(spark, sf_dir):
+    """One family for each snippet, as without vectors."""
+    return families.identity_families(table(spark, sf_dir, "chunks")).select("symbol", "file_path", "version_id", "chunk_id", F.col("member_no").cast("int").alias("member_no"))
+
+
 @query(f"""WITH {_RANKED}, j AS (SELECT query_id, chunk_id FROM qrels GROUP BY ALL) SELECT query_id, signal, chunk_id, score FROM r JOIN j USING (query_id, chunk_id)""")
 def restricted_run(spark, sf_dir):
     """The results that are among the judged chunks of their query."""

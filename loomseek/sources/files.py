@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomseek import errors
+from loomseek.errors import NotFound
+
 # What a walk over a source tree takes and leaves out.
 EXTENSIONS = [".js", ".mjs", ".cjs", ".jsx"]
 IGNORED_FOLDERS = ".git .hg .next .nuxt .svn .venv __pycache__ bower_components build coverage dist node_modules out target vendor".split()
@@ -80,6 +83,17 @@ def load_task(spark: SparkSession, folder: str, split: str = "test") -> tuple[Da
     return normalise_corpus(corpus), normalise_queries(queries), normalise_qrels(qrels)
 
 
+def resolve_task(spark: SparkSession, name: str, split: str = "test", local: str | None = None, root: str = "data/datasets") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The task in the folder named, else in that of its name below ``root``; if neither is there an error names both."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    tried = [p for p in (local, f"{root}/{name}") if p]
+    for folder in tried:
+        path = hadoop(f"{folder}/corpus.jsonl")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return load_task(spark, folder, split)
+    raise NotFound(errors.INDEX_UNAVAILABLE, f"no task {name} in {', '.join(tried)}")
+
+
 def document_text(title, text):
     """Title, blank line and text, of what there is."""
     return F.concat_ws("\n\n", F.nullif(F.trim(F.coalesce(title, F.lit(""))), F.lit("")), F.nullif(F.coalesce(text, F.lit("")), F.lit("")))
