@@ -88,6 +88,13 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document what must hold of its parts: bytes packed, whether it was split, and that no container is over full."""
+    p = packing.pack(table(spark, sf_dir, "documents"))
+    used = p.groupBy("container").agg(F.sum(F.col("end") - F.col("start")).alias("used")).agg(F.max("used").alias("most")).first()["most"] or 0
+    return p.groupBy(F.col("id").alias("doc_id")).agg(F.sum(F.col("end") - F.col("start")).cast("bigint").alias("n_bytes"), (F.count(F.lit(1)) > 1).alias("split"), F.every((F.col("end") - F.col("start") <= 4096) & F.lit(used <= 4096)).alias("fits"))
+
+
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers and unused share, of mixed batches and of batches of one bucket each."""
     docs = table(spark, sf_dir, "documents")
@@ -132,7 +139,7 @@ def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select(F.col("id").alias("doc_id"), "n_bytes", "words", "digits", "symbols", "spaces")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_ranking, p4_quality, p7_found, p7_rates, p5_found, p5_pieces, p5_cover, p8_found, p8_pack, p8_fill, p9_found, p9_items, p10_found, p10_types, p10_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_ranking, p4_quality, p7_found, p7_rates, p5_found, p5_pieces, p5_cover, p8_found, p8_pack, p8_cover, p8_fill, p9_found, p9_items, p10_found, p10_types, p10_counts)}
 
 _FUSED = """
 WITH s AS (SELECT query_id, signal, chunk_id, max(score) AS score FROM ranked WHERE score IS NOT NULL AND lower(CAST(score AS VARCHAR)) NOT LIKE '%nan%' GROUP BY ALL),
@@ -165,6 +172,7 @@ SELECT k.ranking, round(avg(coalesce(gain, 0) / ideal), 6) AS ndcg, count(*) AS
 SELECT DISTINCT chunk_id, strlen(text) AS n_bytes, len(regexp_replace(regexp_replace(text, '\n$', ''), '[^\n]', '', 'g')) AS last_line, true AS within, true AS gapless, true AS lines_agree, true AS numbered
 FROM chunks JOIN chunk_limits USING (kind) WHERE strlen(text) > max_bytes""",
     "p8_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
+    "p8_cover": "SELECT doc_id, max(strlen(text)) AS n_bytes, max(strlen(text)) > 4096 AS split, true AS fits FROM documents WHERE strlen(text) > 0 AND doc_id IS NOT NULL GROUP BY doc_id",
     "p10_counts": r"""
 SELECT DISTINCT doc_id, strlen(text) AS n_bytes, len(regexp_extract_all(text, '[^\t\n\v\f\r ]+')) AS words, len(regexp_extract_all(text, '[0-9]')) AS digits,
   len(regexp_extract_all(text, '[^\t\n\v\f\r a-zA-Z0-9.,!?;:''"()\x00-\x1f\x7f-\x{10ffff}-]')) AS symbols, len(regexp_extract_all(text, '[\t\n\v\f\r ]')) AS spaces
