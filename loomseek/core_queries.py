@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomseek.operators import changes, orphans, snapshots
-from loomseek.session import table
+from loomseek.session import shared_dir, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,23 @@ def p2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(n, "version_id", "left").fillna(0, ["added", "changed", "removed"])
 
 
+def p2_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a Merkle store over the families' states, in the middle of the feed's time and at its end: what the second run put out."""
+    feed = table(spark, sf_dir, "chunk_feed").filter("repo IS NOT NULL AND family_id IS NOT NULL AND arrived_at IS NOT NULL")
+    middle = feed.agg(F.expr("(unix_micros(min(arrived_at)::timestamp) + unix_micros(max(arrived_at)::timestamp)) div 2").alias("m")).first()["m"]
+    state = F.when(F.col("op") != "delete", F.col("content_hash"))
+
+    def states(rows: DataFrame) -> DataFrame:
+        last = rows.groupBy(F.concat_ws("/", "repo", "family_id").alias("family")).agg(F.max(F.struct("changed_at", "change_id", state.alias("state")))["state"].alias("state"))
+        return last.filter("state IS NOT NULL")
+
+    store = changes.MerkleStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    if middle is not None:
+        store.run(states(feed.filter(F.expr(f"unix_micros(arrived_at::timestamp) <= {middle}"))), "family", ["state"])
+    store.run(states(feed), "family", ["state"])
+    return store.output().select(F.col("key").alias("family"), "change", "state")
+
+
 def _orphan_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("calls", "imports", "exports", "symbols", "source_files")]
 
@@ -49,7 +68,7 @@ def p6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_found(spark, sf_dir).groupBy("version_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p3_found, p3_report, p6_found, p6_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p2_store, p3_found, p3_report, p6_found, p6_summary)}
 
 _RUNS = """
 WITH RECURSIVE reports AS (SELECT DISTINCT repo, version_id, parent_version, manifest_path, read_until, chunks_carried, embed_calls FROM reindex_reports),
@@ -125,6 +144,12 @@ ORACLES = {
 SELECT r.version_id, r.parent_version, r.chunks_carried, r.embed_calls, count(*) FILTER (WHERE d.family_id IS NOT NULL AND d.old IS NULL) AS added,
   count(*) FILTER (WHERE d.old IS NOT NULL AND d.new IS NOT NULL) AS changed, count(*) FILTER (WHERE d.old IS NOT NULL AND d.new IS NULL) AS removed
 FROM reports r LEFT JOIN diff d USING (version_id) WHERE r.manifest_path IS NOT NULL GROUP BY ALL""",
+    "p2_store": """
+WITH f AS (SELECT repo || '/' || family_id AS family, changed_at, change_id, arrived_at, CASE WHEN op <> 'delete' THEN content_hash END AS state FROM chunk_feed WHERE repo IS NOT NULL AND family_id IS NOT NULL AND arrived_at IS NOT NULL),
+m AS (SELECT make_timestamp((epoch_us(min(arrived_at)) + epoch_us(max(arrived_at))) // 2) AS t FROM f),
+a AS (SELECT family, arg_max(struct_pack(s := state), struct_pack(x := changed_at, y := change_id)).s AS state FROM f, m WHERE arrived_at <= t GROUP BY ALL), b AS (SELECT family, arg_max(struct_pack(s := state), struct_pack(x := changed_at, y := change_id)).s AS state FROM f GROUP BY ALL),
+x AS (SELECT * FROM a WHERE state IS NOT NULL), y AS (SELECT * FROM b WHERE state IS NOT NULL)
+SELECT family, CASE WHEN x.state IS NULL THEN 'added' WHEN y.state IS NULL THEN 'removed' ELSE 'changed' END AS change, y.state AS state FROM x FULL JOIN y USING (family) WHERE x.state IS DISTINCT FROM y.state""",
     "p3_found": _ORPHANS + "SELECT ref_table, ref_id FROM orphan",
     "p3_report": _ORPHANS
     + """,
