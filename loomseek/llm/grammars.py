@@ -12,7 +12,6 @@ import json
 import re
 import sys
 import warnings
-from collections import Counter
 
 from loomseek.operators.definitions import template_end
 
@@ -156,16 +155,21 @@ def _tokens(text: str) -> list[str]:
 
 
 _STRING_RE = re.compile(_STR)
-_LAST: list = [None, []]
+_LAST: list[tuple] = [(None, [], {})]
 _CLASSES = {False: _Classes(False), True: _Classes(True)}
 _EXPRESSIONS: dict[tuple[str, bool], bool] = {}
 
 
 def _shape(text: str, ts: bool) -> str:
-    found = _LAST[1] if _LAST[0] is text else _tokens(text)
-    shape = "".join(map(_CLASSES[ts].__getitem__, found))
+    last = _LAST[0] if _LAST[0][0] is text else (text, _tokens(text), {})
+    shape = last[2].get(ts)
+    if shape is None and last[2] and "`" not in text:
+        shape = last[2][not ts]  # only templates are classed by language
+    if shape is None:
+        shape = "".join(map(_CLASSES[ts].__getitem__, last[1]))
+    last[2][ts] = shape
     # the grammars of one file share its tokens; set last, as templates bring texts of their own
-    _LAST[:] = [text, found]
+    _LAST[0] = last
     return shape
 
 
@@ -1503,18 +1507,18 @@ def valid(language: str, text: str) -> bool:
     return GRAMMARS[language](text)
 
 
-# Tokens that speak for a language, and how much.
+# Token classes, in a row, that speak for a language, and how much.
 _SIGNS = {
-    "javascript": {"function": 1, "const": 1, "let": 1, "var": 1, "require": 1, "module": 1, "undefined": 1, "null": 1, "=>": 1, "===": 1, ";\n": 1, "{\n": 1, "}\n": 1},
-    "typescript": {"interface": 3, "enum": 3, "readonly": 3, "implements": 3, "namespace": 3, "declare": 3, "string": 3, "number": 3, "boolean": 3, "any": 3, "unknown": 3, "void": 3, "function": 0.5, "const": 0.5, "let": 0.5, "=>": 0.5, ";\n": 0.5, "{\n": 0.5, "}\n": 0.5},
-    "python": {"def": 2, "elif": 2, "except": 2, "with": 1, "from": 1, "import": 1, "class": 1, "None": 2, "self": 2, ":\n": 2},
-    "json": {'":': 1, "[\n": 1, ",\n": 0.3, "{\n": 0.3},
+    "javascript": {"function": 1, "const": 1, "let": 1, "var": 1, "=>": 1, "===": 1, "; \n": 1, "{ \n": 1, "} \n": 1},
+    "typescript": {"interface": 3, "enum": 3, "readonly": 3, "implements": 3, "namespace": 3, "declare": 3, ") :": 2, "? :": 2, "function": 0.5, "const": 0.5, "let": 0.5, "=>": 0.5, "; \n": 0.5, "{ \n": 0.5, "} \n": 0.5},
+    "python": {": \n": 3, "from": 1, ") :": 1, "\n class": 1, "\n import": 1},
+    "json": {"STRING :": 1, "[ \n": 1, ", \n": 0.3, "{ \n": 0.3},
 }
-_SIGN = re.compile(r'[A-Za-z_]+|=>|===|":|[;{}:\[,]\n')
+_SIGNS = {language: {"".join(STRING if t == "STRING" else t if t == "\n" else _W(t) for t in sign.split(" ")): weight for sign, weight in signs.items()} for language, signs in _SIGNS.items()}
 
 
 def ranked(text: str) -> list[str]:
     """All languages, those whose tokens are most frequent first."""
-    n = Counter(_SIGN.findall(text))
-    score = {language: sum(weight * n[sign] for sign, weight in signs.items()) for language, signs in _SIGNS.items()}
+    shape = _shape(text, False)
+    score = {language: sum(weight * shape.count(sign) for sign, weight in signs.items()) for language, signs in _SIGNS.items()}
     return sorted(score, key=lambda k: (-score[k], k))
