@@ -205,10 +205,20 @@ def _fail():
 ARROW, DOTS, CHAIN, INC, DEC = map(_W, ("=>", "...", "?.", "++", "--"))
 
 
+_SETUP: list = [None, None]
+
+
 class _Parser:
     """Recursive descent over a string of classes. Positions with a line end before them are in ``breaks``."""
 
     def __init__(self, shape: str, ts: bool, module: bool):
+        self.ts, self.module, self.at = ts, module, 0
+        self.depth_function = self.depth_async = self.depth_loop = self.depth_switch = self.depth_generator = 0
+        self.no_in = False
+        if _SETUP[0] == shape:
+            # the shape that was parsed last, for another grammar
+            self.c, self.n, self.breaks, self.close = _SETUP[1]
+            return
         lines = shape.split("\n")
         at, breaks = 0, set()
         for line in lines[:-1]:
@@ -217,10 +227,10 @@ class _Parser:
         self.c = "".join(lines)
         self.n = len(self.c)
         self.c += "\x00\x00\x00"
-        self.breaks, self.ts, self.module, self.at = breaks, ts, module, 0
-        self.depth_function = self.depth_async = self.depth_loop = self.depth_switch = self.depth_generator = 0
-        self.no_in = False
+        self.breaks = breaks
         self.close = self._match()
+        if len(shape) > 100:
+            _SETUP[:] = [shape, (self.c, self.n, self.breaks, self.close)]
 
     def _match(self) -> dict[int, int]:
         stack, pairs = [], {}
