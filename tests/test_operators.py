@@ -487,6 +487,23 @@ def test_large_definitions_are_split():
     assert len(many) == 2500  # no file has too many chunks
 
 
+def test_imports_and_calls():
+    text = """import a from './a.js';
+import * as b from "b";
+import './side.js';
+export { c, d as e } from './c.js';
+const f = require('f'), g = import('./g.js'), h = x.require('no');
+// import z from 'z'
+const s = "from 'not'"; from('nor');
+class K { run(q) { return this.go(q, `t ${inner(1)}`); } static make(r) { } }
+if (a) { b.c(d)(e); } new Thing(1); function decl(x) { } const l = async (y) => y;
+"""
+    words = chunking.words_of(text)
+    assert chunking.imports_in(words) == ["./a.js", "b", "./side.js", "./c.js", "f", "./g.js"]
+    assert chunking.calls_in(words) == ["require", "require", "from", "go", "inner", "c", "Thing"]
+    assert chunking.calls_in(chunking.words_of("open(1, 'half")) == ["open"] and chunking.imports_in(chunking.words_of("")) == []
+
+
 def test_definition_lines():
     for line, want in [("export default async function* go(a) {", "go"), ("class A extends B {", "A"), ("export const f = async (x) => {", "f"), ("  run(a, b) {", "run"), ("let g = y => y", "g"), ("function (", None)]:
         assert chunking.definition_of_line(line) == (True, want), line
