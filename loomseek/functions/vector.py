@@ -8,11 +8,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomseek.functions.text import hash_terms
+from loomseek.functions.runs import HashTerms, counted
 
 PROJECTIONS = 4
 
@@ -47,30 +46,26 @@ def _places(term: str, dim: int) -> tuple[list[int], list[float]]:
 
 
 def _embed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
+    memory, placed = HashTerms(), 0
     places, signs = np.zeros((1024, PROJECTIONS), dtype=np.int64), np.zeros((1024, PROJECTIONS))
     for b in batches:
-        terms = b.column(1)
-        lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
-        coded = terms.flatten().dictionary_encode()
-        ids = np.zeros(len(coded.dictionary), dtype=np.int64)
-        for n, t in enumerate(coded.dictionary.to_pylist()):
-            at = known.get(t)
-            if at is None:
-                if len(known) >= 1_000_000:
-                    known.clear()
-                at = known[t] = len(known)
-                if at >= len(places):
-                    places, signs = np.concatenate([places, places]), np.concatenate([signs, signs])
-                places[at], signs[at] = _places(t, dim)
-            ids[n] = at
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        pair, tf = np.unique(row * len(places) + ids[coded.indices.to_numpy()] if len(row) else np.zeros(0, np.int64), return_counts=True)
-        r, t = pair // len(places), pair % len(places)
+        if memory.trim():
+            placed = 0
+        numbers = [memory.of(t) for t in b.column(1).to_pylist()]
+        while len(places) < len(memory.terms):
+            places, signs = np.concatenate([places, places]), np.concatenate([signs, signs])
+        for n in range(placed, len(memory.terms)):
+            places[n], signs[n] = _places(memory.terms[n], dim)
+        placed = len(memory.terms)
+        r, t, tf = counted(numbers, len(memory.terms))
         weight = signs[t] * (1 + np.log(tf))[:, None]
-        out = np.bincount((r[:, None] * dim + places[t]).ravel(), weights=weight.ravel(), minlength=len(lengths) * dim)
-        offsets = pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * dim)
-        yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(out, type=pa.float64()))], names=[b.schema[0].name, "raw"])
+        out = np.bincount((r[:, None] * dim + places[t]).ravel(), weights=weight.ravel(), minlength=len(numbers) * dim).reshape(-1, dim)
+        # as l2_normalise has it, in the same order of summation
+        length = np.sqrt(np.cumsum(out * out, axis=1)[:, -1])
+        none = length < 1e-12
+        out = np.where(none[:, None], np.eye(1, dim), out / np.where(none, 1.0, length)[:, None])
+        offsets = pa.array(np.arange(len(numbers) + 1, dtype=np.int32) * dim)
+        yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel(), type=pa.float64()))], names=[b.schema[0].name, "vec"])
 
 
 def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
@@ -80,8 +75,7 @@ def hash_embed(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame
     one text: nothing is shuffled, and a repeated row has its vector again.
     """
     kind = dict(rows.dtypes)[key]
-    raw = rows.select(F.col(key), hash_terms(F.col(text)).alias("terms")).mapInArrow(partial(_embed, dim=dim), f"`{key}` {kind}, raw array<double>")
-    return raw.select(key, l2_normalise(F.col("raw")).alias("vec"))
+    return rows.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(partial(_embed, dim=dim), f"`{key}` {kind}, vec array<double>")
 
 
 # Fixed value: the envelope of a query for encoders that are trained on instructions.

@@ -43,7 +43,7 @@ def _multiply(vectors: pd.DataFrame, queries: pd.DataFrame, k: int, least: float
     return pd.concat(out) if out else pd.DataFrame({"query_id": queries["query_id"][:0], "id": vectors["id"][:0], "score": np.zeros(0)})
 
 
-class _Best:
+class Best:
     """The ``k`` best rows of each query so far, in the order of falling score and rising id."""
 
     def __init__(self, n: int, k: int):
@@ -55,7 +55,7 @@ class _Best:
         self.s.append(s)
         self.ids.append(ids)
         self.held += len(q)
-        if self.held > max(2_000_000, 2 * self.k * len(self.least)):
+        if self.held > max(500_000, 2 * self.k * len(self.least)):
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def _matrix(vecs: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _local(batches: Iterator[pa.RecordBatch], shared, k: int | None, least: float, id_type: pa.DataType, query_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     names, matrix = shared.value
-    best = _Best(len(names), k) if k is not None else None
+    best = Best(len(names), k) if k is not None else None
 
     def batch(q: np.ndarray, ids, s: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(names[q].tolist(), type=query_type), pa.array(list(ids), type=id_type), pa.array(s, type=pa.float64())], names=["query_id", "id", "score"])

@@ -17,17 +17,23 @@ from loomseek.operators.dense import dense_topk
 from loomseek.operators.fusion import merge_lists, rrf
 from loomseek.operators.graph import relations_of, structural_search
 from loomseek.operators.rerank import final_order, lexical_rerank, model_rerank, sufficiency
-from loomseek.operators.sparse import SparseIndex, bm25_topk, build_index, chunk_stream
+from loomseek.operators.sparse import SparseIndex, bm25_topk, chunk_rows
 from loomseek.plans.planner import effective_queries, mined_identifiers, plan_queries, plans_differ, refine_plans
-from loomseek.session import staged
+from loomseek.session import staged, written
 from loomseek.settings import DEFAULT, Settings
 from loomseek.sources.generations import Generations
 
 #: ``embed(rows, key, text)`` gives ``key, vec``.
 Embed = Callable[[DataFrame, str, str], DataFrame]
+#: ``keep(table, name)`` writes a table of an index and reads it again.
+Keep = Callable[[DataFrame, str], DataFrame]
 _TABLES = ("chunks", "vectors", "symbols", "calls", "imports", "exports")
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    return staged(df)
+
+
 @dataclass
 class Index:
     """What a query is answered from. ``chunks`` has one row per chunk id."""
@@ -44,21 +50,21 @@ class Index:
     embed_query: Embed | None = None
 
     @staticmethod
-    def build(chunks: DataFrame, symbols: DataFrame | None = None, calls: DataFrame | None = None, imports: DataFrame | None = None, exports: DataFrame | None = None, embed: Embed = hash_embed) -> Index:
-        """Chunks count once per id; vectors are made once per content. Without ``symbols`` the relations are made from the chunks."""
+    def build(chunks: DataFrame, symbols: DataFrame | None = None, calls: DataFrame | None = None, imports: DataFrame | None = None, exports: DataFrame | None = None, embed: Embed = hash_embed, keep: Keep = _staged) -> Index:
+        """Chunks count once per id; vectors are made once per content. Without ``symbols`` the relations are made from the chunks.
+
+        ``keep`` says where the tables are written.
+        """
         place = F.struct("repo", "version_id", "file_path", "start_byte", F.coalesce("kind", F.lit("")), F.coalesce("symbol", F.lit("")))
         one = chunks.filter(F.col("chunk_id").isNotNull() & F.col("text").isNotNull()).groupBy("chunk_id").agg(*[F.min_by(c, place).alias(c) for c in ("content_hash", "text", "symbol", "kind", "calls", "file_path")])
-        one = staged(one)
+        one = keep(one, "chunks")
         contents = one.groupBy("content_hash").agg(F.min("text").alias("text"))
-        vecs = staged(embed(contents, "content_hash", "text"))
-        vectors = staged(one.select(F.col("chunk_id").alias("id"), "content_hash").join(vecs, "content_hash").select("id", "vec"))
-        terms = chunk_stream(F.col("text"), F.col("symbol"), F.col("calls"))
-        sparse = build_index(one, "chunk_id", terms)
-        sparse.docs = staged(sparse.docs)
-        sparse.terms = staged(sparse.terms)
-        sparse.corpus = staged(sparse.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+        vectors = keep(one.select(F.col("chunk_id").alias("id"), "content_hash").join(embed(contents, "content_hash", "text"), "content_hash").select("id", "vec"), "vectors")
+        rows = keep(chunk_rows(one), "sparse/rows")
+        terms = keep(rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "sparse/terms")
+        corpus = keep(rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "sparse/corpus")
         relations = relations_of(chunks) if symbols is None else (symbols, calls, imports, exports)
-        return Index(one, vectors, sparse, *relations, embed)
+        return Index(one, vectors, SparseIndex.by_document(rows, terms, corpus), *relations, embed)
 
     def write(self, spark: SparkSession, path: str, model_id: str = "hash-64") -> str:
         """Writes all tables as one generation and publishes it: a reader sees the index before or after, never between."""
@@ -68,11 +74,26 @@ class Index:
         for name in _TABLES:
             getattr(self, name).write.parquet(store.at(g, name))
         self.sparse.write(store.at(g, "sparse"))
+        self._publish(store, g, len(done), model_id)
+        return g
+
+    @staticmethod
+    def create(spark: SparkSession, path: str, *tables: DataFrame, model_id: str = "hash-64", embed: Embed = hash_embed) -> str:
+        """Builds an index of the ``tables`` of ``build`` as a generation at ``path`` and publishes it; nothing is written twice."""
+        store = Generations(spark, path)
+        store.vacuum()
+        done, g = store.commits(), store.new()
+        index = Index.build(*tables, embed=embed, keep=lambda d, name: written(d, store.at(g, name)))
+        for name in _TABLES[2:]:
+            written(getattr(index, name), store.at(g, name))
+        index._publish(store, g, len(done), model_id)
+        return g
+
+    def _publish(self, store: Generations, g: str, number: int, model_id: str) -> None:
         dim = self.vectors.agg(F.max(F.size("vec")).alias("dim"), F.count(F.lit(1)).alias("vectors"))
         manifest = self.chunks.agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct("content_hash").alias("contents")).crossJoin(dim)  # one row each
         manifest.select("*", F.lit(model_id).alias("model_id"), F.lit("flat").alias("index_kind"), F.current_timestamp().alias("built_at")).coalesce(1).write.parquet(store.at(g, "manifest"))
-        store.publish(g, len(done))
-        return g
+        store.publish(g, number)
 
     @staticmethod
     def open(spark: SparkSession, path: str, embed: Embed = hash_embed, generation: str | None = None) -> Index:

@@ -664,7 +664,7 @@ _INDEXES: dict[tuple[str, str], str] = {}
 def _build_index(spark, sf_dir) -> str:
     """Builds and writes the index of the chunks, once more whenever it is called."""
     path = _INDEXES.get((spark.sparkContext.applicationId, sf_dir)) or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    pipeline.Index.build(table(spark, sf_dir, "chunks"), *_graph(spark, sf_dir)).write(spark, path)
+    pipeline.Index.create(spark, path, table(spark, sf_dir, "chunks"), *_graph(spark, sf_dir))
     _INDEXES[spark.sparkContext.applicationId, sf_dir] = path
     return path
 
@@ -684,13 +684,21 @@ def index_build(spark, sf_dir):
     return spark.read.parquet(store.at(store.generation(), "manifest")).drop("built_at")
 
 
+def _asked(spark, sf_dir):
+    """``query_id, text`` of the titles, equal ones once, and who asks them: ``asked_id, query_id``."""
+    asked = staged(_titles(spark, sf_dir).select(F.col("query_id").alias("asked_id"), F.sha2("text", 256).alias("query_id"), "text"))
+    return asked.select("query_id", "text").distinct(), asked.select("asked_id", "query_id")
+
+
 @query()
 def hybrid_topk(spark, sf_dir):
-    """Three signals over the chunks, fused by query type, ten results a query with their reasons."""
-    index, plans = _chunk_index(spark, sf_dir), staged(planner.plan_queries(_titles(spark, sf_dir)))
+    """Three signals over the chunks, fused by query type, ten results a query with their reasons. Equal titles are searched once."""
+    texts, who = _asked(spark, sf_dir)
+    index, plans = _chunk_index(spark, sf_dir), staged(planner.plan_queries(texts))
     out = pipeline.one_pass(index, plans, rerank=False)
     named = out.join(index.chunks.select("chunk_id", "kind", "symbol", "text"), "chunk_id").join(plans.select("query_id", F.concat("identifiers", "expansion_terms").alias("terms")), "query_id")
     row = {c: F.col(c) for c in ("dominant_signal", "contributions", "kind", "symbol")} | {"detail": F.col("reason")}
+    named = named.join(who, "query_id").withColumn("query_id", F.col("asked_id"))
     return named.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), "rank", "dominant_signal", pipeline.match_reason(row, pipeline.matched_terms(F.col("symbol"), F.col("text"), F.col("terms"))).alias("match_reason"))
 
 

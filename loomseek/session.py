@@ -73,6 +73,21 @@ def staged(df: DataFrame, *partition_by: str) -> DataFrame:
     if not _STAGED:
         atexit.register(release, spark)
     _STAGED.append(path)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    return written(df, path, *partition_by)
+
+
+#: Spark's switch by which a query's shuffle files go with its end, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """``df`` written to ``path`` and read again; what it shuffled goes at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
