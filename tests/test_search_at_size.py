@@ -98,7 +98,8 @@ def test_equal_titles_are_one_query(spark, tmp_path):
         spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
     texts, who = _asked(spark, str(tmp_path))
     assert texts.select("query_id").distinct().count() == 2 and rows(who, "asked_id") == [(20,), (40,), (60,), (60,)]
-    got = {}
-    for r in QUERIES["hybrid_topk"](spark, str(tmp_path)).collect():
-        got.setdefault(r["query_id"], []).append(tuple(r)[1:])
-    assert set(got) == {20, 40, 60} and sorted(got[20]) == sorted(got[40]) and len(got[20]) == 10 and len(got[60]) == 20
+    for name in ("hybrid_topk", "agent_two_pass"):
+        got = {}
+        for r in QUERIES[name](spark, str(tmp_path)).collect():
+            got.setdefault(r["query_id"], []).append(tuple(r)[1:])
+        assert set(got) == {20, 40, 60} and sorted(got[20]) == sorted(got[40]) and len(got[20]) == 10 and len(got[60]) == 20
