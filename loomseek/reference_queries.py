@@ -704,9 +704,9 @@ def hybrid_topk(spark, sf_dir):
 
 @query()
 def agent_two_pass(spark, sf_dir):
-    """Reranked answers, with a second pass for the queries whose first was not enough. Equal titles are searched once."""
+    """Reranked answers, with a second pass for the queries whose first was not enough by its scores of terms. Equal titles are searched once."""
     texts, who = _asked(spark, sf_dir)
-    out = pipeline.answer(_chunk_index(spark, sf_dir), texts).results.join(who, "query_id").withColumn("query_id", F.col("asked_id"))
+    out = pipeline.answer(_chunk_index(spark, sf_dir), texts, judge_terms=True).results.join(who, "query_id").withColumn("query_id", F.col("asked_id"))
     return out.select("query_id", "chunk_id", F.round("final_score", 6).alias("final_score"), "rank", "passes", "stop_reason")
 
 

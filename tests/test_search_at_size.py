@@ -103,3 +103,30 @@ def test_equal_titles_are_one_query(spark, tmp_path):
         for r in QUERIES[name](spark, str(tmp_path)).collect():
             got.setdefault(r["query_id"], []).append(tuple(r)[1:])
         assert set(got) == {20, 40, 60} and sorted(got[20]) == sorted(got[40]) and len(got[20]) == 10 and len(got[60]) == 20
+
+
+def test_the_second_pass_changes_answers(spark):
+    """Weak first answers are asked again with another question, and the better answer counts."""
+    from loomseek.operators.graph import relations_of
+    from loomseek.plans import pipeline, planner
+
+    schema = "repo string, version_id string, chunk_id string, content_hash string, file_path string, start_line int, start_byte int, end_line int, end_byte int, kind string, symbol string, parent_symbol string, language string, is_exported boolean, imports array<string>, calls array<string>, text string"
+    # of many chunks with one word of the query only the expanded question brings the one with both words among the first
+    words = [f"merge {'other ' * 40}{i}" for i in range(60)] + [f"merge cache combine concat assign memoize store lru {'filler ' * 400}"]
+    chunks = spark.createDataFrame([("r", "v", f"c{i:03d}", f"h{i}", f"f{i}.js", 1, 0, 2, 9, "function", None, None, "js", False, [], [], w) for i, w in enumerate(words)], schema)
+    index = pipeline.Index.build(chunks, *relations_of(chunks))
+    queries = spark.createDataFrame([("a", "merge zzz yyy xxx"), ("b", "zzz yyy xxx www")], "query_id string, text string")
+    plans = planner.plan_queries(queries)
+    assert {r["query_id"]: r["sub_queries"] for r in planner.refine_plans(plans, spark.createDataFrame([("a", 9), ("b", 9)], "query_id string, n_results int")).collect()} == {"a": ["merge zzz yyy xxx combine concat assign", "merge zzz yyy xxx"], "b": []}
+    assert rows(pipeline.answer(index, queries).outcome, "query_id", "passes", "stop_reason") == [("a", 1, "sufficient"), ("b", 1, "sufficient")]
+    assert rows(pipeline.answer(index, queries, judge_terms=True).outcome, "query_id", "passes", "stop_reason") == [("a", 2, "max_passes"), ("b", 1, "no_new_query")]
+
+
+def test_agent_asks_again(spark, tmp_path):
+    from loomseek.reference_queries import QUERIES
+
+    spark.createDataFrame([(20, "merge zzz yyy xxx qqq")], "doc_id bigint, title string").write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("chunks", "symbols", "calls", "imports", "exports"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = QUERIES["agent_two_pass"](spark, str(tmp_path)).select("query_id", "passes", "stop_reason").distinct().collect()
+    assert [tuple(r) for r in got] == [(20, 2, "max_passes")]
